@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm.mixing import op7_raking
+from tilewright.llm.quality import OP10_SQL, op10_hosts
 from tilewright.llm.sharding import op4_ring
 
 
@@ -14,8 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_ring": op4_ring,
         "op7_raking": op7_raking,
+        "op10_hosts": op10_hosts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_hosts": OP10_SQL}
