@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.llm.decontaminate import op3_templates
 from tilewright.llm.mixing import op7_raking
 from tilewright.llm.pii import op1_feistel
 from tilewright.llm.quality import OP10_SQL, op10_hosts
@@ -15,6 +16,7 @@ from tilewright.llm.sharding import op4_ring
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel": op1_feistel,
+        "op3_templates": op3_templates,
         "op4_ring": op4_ring,
         "op7_raking": op7_raking,
         "op10_hosts": op10_hosts,
