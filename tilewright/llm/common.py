@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the reliable checkpoint folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this session, which all executors share.
 
-    The folder named by ``spark.checkpoint.dir`` is used.  Only a local session, as
-    in tests, may lack it; it then gets a temporary one.
+    It comes from ``spark.checkpoint.dir``.  Only a local session, as in tests, may
+    lack that; it then gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +31,22 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
             named = tempfile.mkdtemp(prefix="tilewright-checkpoint-")
         context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: for wide rows such as texts."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null counts as no text."""
     parts = F.split(F.coalesce(text, F.lit("")), SEPARATOR_RUN)
@@ -69,7 +82,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         stepped = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
-        jump = labels.withColumnsRenamed({"node": "label", "label": "further"})
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = settle(
             stepped.join(jump, "label", "left").select(
                 "node", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("changed")

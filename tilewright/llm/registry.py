@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm.decontaminate import op3_templates
+from tilewright.llm.jaccard import OP8_SQL, op8_product
 from tilewright.llm.mixing import op7_raking
 from tilewright.llm.pii import op1_feistel
 from tilewright.llm.quality import OP10_SQL, op10_hosts
@@ -19,9 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_templates": op3_templates,
         "op4_ring": op4_ring,
         "op7_raking": op7_raking,
+        "op8_product": op8_product,
         "op10_hosts": op10_hosts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_hosts": OP10_SQL}
+    return {"op8_product": OP8_SQL, "op10_hosts": OP10_SQL}
