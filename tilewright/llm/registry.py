@@ -12,6 +12,7 @@ from tilewright.llm.mixing import op7_raking
 from tilewright.llm.pii import op1_feistel
 from tilewright.llm.quality import OP10_SQL, op10_hosts
 from tilewright.llm.sharding import op4_ring
+from tilewright.llm.toolcalls import op9_links
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ring": op4_ring,
         "op7_raking": op7_raking,
         "op8_product": op8_product,
+        "op9_links": op9_links,
         "op10_hosts": op10_hosts,
     }
 
