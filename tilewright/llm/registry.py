@@ -13,6 +13,7 @@ from tilewright.llm.pii import op1_feistel
 from tilewright.llm.quality import OP10_SQL, op10_hosts
 from tilewright.llm.sharding import op4_ring
 from tilewright.llm.toolcalls import op9_links
+from tilewright.llm.toxicity import op6_grammar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_feistel": op1_feistel,
         "op3_templates": op3_templates,
         "op4_ring": op4_ring,
+        "op6_grammar": op6_grammar,
         "op7_raking": op7_raking,
         "op8_product": op8_product,
         "op9_links": op9_links,
