@@ -10,6 +10,7 @@ from tilewright.llm.decontaminate import op3_templates
 from tilewright.llm.jaccard import OP8_SQL, op8_product
 from tilewright.llm.mixing import op7_raking
 from tilewright.llm.pii import op1_feistel
+from tilewright.llm.ppm import op5_ppm
 from tilewright.llm.quality import OP10_SQL, op10_hosts
 from tilewright.llm.sharding import op4_ring
 from tilewright.llm.toolcalls import op9_links
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_feistel": op1_feistel,
         "op3_templates": op3_templates,
         "op4_ring": op4_ring,
+        "op5_ppm": op5_ppm,
         "op6_grammar": op6_grammar,
         "op7_raking": op7_raking,
         "op8_product": op8_product,
