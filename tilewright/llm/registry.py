@@ -13,6 +13,7 @@ from tilewright.llm.pii import op1_feistel
 from tilewright.llm.ppm import op5_ppm
 from tilewright.llm.quality import OP10_SQL, op10_hosts
 from tilewright.llm.sharding import op4_ring
+from tilewright.llm.suffix import op2_runs
 from tilewright.llm.toolcalls import op9_links
 from tilewright.llm.toxicity import op6_grammar
 
@@ -20,6 +21,7 @@ from tilewright.llm.toxicity import op6_grammar
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel": op1_feistel,
+        "op2_runs": op2_runs,
         "op3_templates": op3_templates,
         "op4_ring": op4_ring,
         "op5_ppm": op5_ppm,
