@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,38 +61,27 @@ def unit_hash(seed: int, *columns: str | Column) -> Column:
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table: rows (node, label), label the smallest node.
 
-    Minimum labels travel along edges and jump to their label's label, so a path of
-    length n takes about log n rounds.  Sums are map-side minima and the joins are
-    plain equi-joins that skew handling can split; every round is checkpointed.
+    Every round hooks each node to its smallest neighbour, jumps along the hooks to
+    their roots and contracts the edges to distinct pairs of different roots, so the
+    edge table at least halves its nodes.  Minima are combined before shuffles and
+    joins are equi-joins that skew handling can split; every round is checkpointed.
     """
-    both = settle(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .where("u <> v")
-        .selectExpr("stack(2, u, v, v, u) as (u, v)")
-        .distinct()
-    )
-    labels = settle(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
+    pairs = settle(pairs.distinct())
+    labels = settle(pairs.selectExpr("stack(2, u, v) as node").distinct()).select("node", F.col("node").alias("label"))
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnsRenamed({"node": "v", "label": "near"}), "v")
-            .groupBy("u")
-            .agg(F.min("near").alias("near"))
-        )
-        stepped = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = settle(
-            stepped.join(jump, "label", "left").select(
-                "node", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("changed")
-            )
-        )
-        labels = moved.select("node", "label")
-        if moved.where("changed").isEmpty():
+        if pairs.isEmpty():
             return labels
+        hooks = settle(pairs.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node"))
+        while True:  # hooks point to smaller nodes: forests, whose depth each pass halves
+            ahead = hooks.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            moved = settle(hooks.join(ahead, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+            hooks = moved.select("node", "root")
+            if moved.where("moved").isEmpty():
+                break
+        roots = hooks.withColumnRenamed("root", "to")
+        labels = settle(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        left = pairs.join(roots.withColumnRenamed("node", "u"), "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
+        both = left.join(roots.withColumnRenamed("node", "v"), "v", "left").select("u", F.coalesce("to", "v").alias("v"))
+        pairs = settle(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The named columns alone: extra input columns, clashing names included, go no further."""
-    return df.select(*[F.col(c) for c in columns])

@@ -40,7 +40,8 @@ from tilewright.llm.kernel import chunks, gram_hashes, mix, word_hashes
 #: Rows of a tile: at least the first, growing with the group to the second once it has TILES tiles.
 TILE_ROWS = (64, 1024)
 TILES = 32
-BLOCK_COLUMNS = 2_000_000
+BLOCK_COLUMNS = 4_000_000
+CLASSES_IN_RANGE = 50_000
 FLUSH_COLUMNS = 500_000
 NO_ID = -(1 << 63)
 
@@ -148,8 +149,31 @@ def _columns(n: int, blocks: int):
     return run
 
 
-def _shared(parts: pa.Table) -> pa.Table:
-    """For a block's columns: per class, how many of its n-grams here some other class holds."""
+def _shared(ranges: int):
+    """For a block's columns: per class, how many of its n-grams here some other class holds, packed by class range."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        names, shared = _shared_columns(parts)
+        place = (names.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        cut = np.searchsorted(place[order], np.arange(ranges + 1))
+        full = [int(r) for r in np.flatnonzero(np.diff(cut))]
+        pack = lambda x, r: x[order[cut[r] : cut[r + 1]]].tobytes()
+        return pa.table(
+            {"range": pa.array(full, pa.int64()), "keys": pa.array([pack(names, r) for r in full], pa.binary()), "shared": pa.array([pack(shared, r) for r in full], pa.binary())}
+        )
+
+    return run
+
+
+def _summed(parts: pa.Table) -> pa.Table:
+    names = np.frombuffer(b"".join(parts.column("keys").to_pylist()), np.int64)
+    names, which = np.unique(names, return_inverse=True)
+    shared = np.frombuffer(b"".join(parts.column("shared").to_pylist()), np.uint32)
+    return pa.table({"class_key": names, "shared": np.bincount(which, weights=shared, minlength=len(names)).astype(np.int64)})
+
+
+def _shared_columns(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     grams = np.frombuffer(b"".join(parts.column("grams").to_pylist()), np.uint32)
     names = np.frombuffer(b"".join(parts.column("keys").to_pylist()), np.int64)
     counts = np.frombuffer(b"".join(parts.column("counts").to_pylist()), np.uint32)
@@ -163,7 +187,7 @@ def _shared(parts: pa.Table) -> pa.Table:
     twin[:-1] |= same
     shared = np.bincount((ranked[twin] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
     keep = shared > 0
-    return pa.table({"class_key": names[keep], "shared": shared[keep].astype(np.int64)})
+    return names[keep], shared[keep].astype(np.uint32)
 
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
@@ -281,12 +305,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = settle(worded.groupBy("class_key", "check", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
 
     # peeling: the columns are counted in blocks
-    columns = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    columns, n_classes = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     packed = rows.mapInArrow(_columns(n, max(1, ceil(columns / BLOCK_COLUMNS))), "block long, keys binary, counts binary, grams binary")
-    shared = packed.groupBy("block").applyInArrow(_shared, "class_key long, shared long")
+    shared = packed.groupBy("block").applyInArrow(_shared(max(1, ceil(n_classes / CLASSES_IN_RANGE))), "range long, keys binary, shared binary")
     left = settle(
-        shared.groupBy("class_key")
-        .agg(F.sum("shared").alias("shared"))
+        shared.groupBy("range")
+        .applyInArrow(_summed, "class_key long, shared long")
         .join(classes, "class_key")
         .where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
         .select("class_key", "class_id", "copies")
