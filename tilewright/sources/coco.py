@@ -37,7 +37,7 @@ def find_dataset(spark: SparkSession, directory: str) -> str | None:
 def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables images, categories and annotations; ValueError for a malformed document."""
     whole = spark.read.schema(SCHEMA + ", _bad string").json(path, multiLine=True, columnNameOfCorruptRecord="_bad").cache()
-    if not whole.where("_bad IS NOT NULL OR images IS NULL OR annotations IS NULL OR categories IS NULL").isEmpty():
+    if whole.isEmpty() or not whole.where("_bad IS NOT NULL OR images IS NULL OR annotations IS NULL OR categories IS NULL").isEmpty():
         raise ValueError(f"not an annotation dataset: {path}")
     out = {k: whole.select(F.posexplode(k).alias("ord", "row")).select("ord", "row.*") for k in ("images", "categories")}
     rows = whole.select(F.posexplode("annotations").alias("ord", "row")).select("ord", "row.*")
