@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
-
 
 def _refuse(rows: DataFrame, column: str, message: str) -> None:
     bad = sorted(r[0] for r in rows.select(column).distinct().limit(20).collect())
@@ -35,15 +33,17 @@ def ancestors(categories: DataFrame) -> DataFrame:
     """(name, ancestor, depth): every step up the forest by name, ending at headings and cut at cycles."""
     spark = categories.sparkSession
     parents = categories.groupBy("name").agg(F.min_by(F.coalesce("supercategory", F.lit("")), "id").alias("parent"))
-    parents.createOrReplaceTempView("_tilewright_parents")
-    return spark.sql(f"""
-        WITH RECURSIVE up(name, ancestor, depth, seen) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-            SELECT name, parent, 1, array(name) FROM _tilewright_parents WHERE parent <> ''
+    return spark.sql(
+        """
+        WITH RECURSIVE up(name, ancestor, depth, seen) MAX RECURSION LEVEL 64 AS (
+            SELECT name, parent, 1, array(name) FROM {parents} WHERE parent <> ''
             UNION ALL
             SELECT up.name, p.parent, depth + 1, concat(seen, array(ancestor))
-            FROM up JOIN _tilewright_parents p ON p.name = up.ancestor
+            FROM up JOIN {parents} p ON p.name = up.ancestor
             WHERE p.parent <> '' AND NOT array_contains(concat(seen, array(ancestor)), p.parent))
-        SELECT name, ancestor, depth FROM up""")
+        SELECT name, ancestor, depth FROM up""",
+        parents=parents,
+    )
 
 
 def nearest_outside(categories: DataFrame, inside: Sequence[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from tilewright.operators.matching import seeded_groups
 from tilewright.plans import fixtures as X
 from tilewright.plans.oracles import ORACLES
 from tilewright.sources.coco import normalize_prompt
-from tilewright.streaming.events import fold_directory
+from tilewright.streaming.events import fold_directory, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -264,9 +263,7 @@ def despeckle(spark, d):
 
 def stream_fold(spark, d):
     """The sweep's events written as files and folded by a stream."""
-    context = spark.sparkContext
-    shared = context._jsc.sc().getCheckpointDir()
-    base = (shared.get() if not shared.isEmpty() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-")) + "/" + __import__("uuid").uuid4().hex
+    base = shared_folder(spark)
     sweep_events(spark, d).write.parquet(f"{base}/events")
     return fold_directory(spark, f"{base}/events", P.EVENTS, f"{base}/state")
 
