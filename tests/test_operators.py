@@ -213,4 +213,4 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     fold_directory(spark, str(tmp_path / "e"), schema, str(tmp_path / "c"))
     write([(1, 2, "replace", 0, 1, "1:0:0"), (1, 3, "done", None, 3, None)])
     got = {r.image_id: (r.landed, r.retracted, r.done) for r in fold_directory(spark, str(tmp_path / "e"), schema, str(tmp_path / "c")).collect()}
-    assert got == {1: (3, 1, True)}  # the second run sees new events only, with the state of the first
+    assert got == {1: (3, 1, True), 2: (1, 0, False)}  # the second run reads new events only, with the state of the first
