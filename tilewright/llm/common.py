@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROWS_IN_PARTITION = 100_000
+
+
+def settle_narrow(df: DataFrame) -> DataFrame:
+    """A checkpoint in as few partitions as its counted rows need: small tables then join and group without shuffles."""
+    done = settle(df)
+    return done.coalesce(max(1, ceil(done.count() / ROWS_IN_PARTITION)))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: for wide rows such as texts."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -58,19 +70,51 @@ def unit_hash(seed: int, *columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 12) / F.lit(float(1 << 52))
 
 
+FOREST_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges replaced by stars around each component's smallest node, FOREST_EDGES at a time."""
+
+    def stars(root: dict[int, int]) -> pa.RecordBatch:
+        pairs = [(top(root, x), x) for x in root]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    def top(root: dict[int, int], x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    root: dict[int, int] = {}
+    held = 0
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(root, root.setdefault(x, x)), top(root, root.setdefault(y, y))
+            root[max(a, b)] = min(a, b)
+        held += len(batch)
+        if held >= FOREST_EDGES:
+            yield stars(root)
+            root, held = {}, 0
+    yield stars(root)
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge table: rows (node, label), label the smallest node.
+    """Connected components of an undirected edge table of long ids: rows (node, label), label the smallest node.
 
-    Every round hooks each node to its smallest neighbour, jumps along the hooks to
-    their roots and contracts the edges to distinct pairs of different roots, so the
-    edge table at least halves its nodes.  Minima are combined before shuffles and
-    joins are equi-joins that skew handling can split; every round is checkpointed.
+    Edges first shrink to stars inside every partition.  Then each round hooks every
+    node to its smallest neighbour, jumps along the hooks to their roots and contracts
+    the edges to distinct pairs of different roots, which at least halves the nodes.
+    Minima are combined before shuffles, joins are equi-joins that skew handling can
+    split, and every round is checkpointed.
     """
-    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
-    pairs = settle(pairs.distinct())
-    labels = settle(pairs.selectExpr("stack(2, u, v) as node").distinct()).select("node", F.col("node").alias("label"))
+    shrink = lambda e: settle_narrow(e.where("u < v").distinct().mapInArrow(_forest, "u long, v long"))
+    pairs = shrink(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))
+    pairs = shrink(pairs)  # once more over the narrower table, where few partitions hold all stars
+    labels = None
     for _ in range(max_rounds):
-        if pairs.isEmpty():
+        if labels is not None and pairs.isEmpty():
             return labels
         hooks = settle(pairs.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node"))
         while True:  # hooks point to smaller nodes: forests, whose depth each pass halves
@@ -80,8 +124,12 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
             if moved.where("moved").isEmpty():
                 break
         roots = hooks.withColumnRenamed("root", "to")
-        labels = settle(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        if labels is None:
+            labels = hooks.unionAll(hooks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "label")
+        else:
+            labels = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = settle_narrow(labels)
         left = pairs.join(roots.withColumnRenamed("node", "u"), "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
         both = left.join(roots.withColumnRenamed("node", "v"), "v", "left").select("u", F.coalesce("to", "v").alias("v"))
-        pairs = settle(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        pairs = shrink(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

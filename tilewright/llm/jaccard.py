@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import components, settle, table
+from tilewright.llm.common import components, settle, settle_narrow, table
 from tilewright.llm.kernel import chunks, gram_hashes, mix, word_hashes
 
 #: Rows of a tile: at least the first, growing with the group to the second once it has TILES tiles.
@@ -195,7 +195,7 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     size = len(grams)
     band = band_of(size, percent)
     out = []
-    for scheme in (band, band - 1):  # scheme s serves bands s and s + 1
+    for scheme in range(max(band - 1, 0), band + 1):  # scheme s serves bands s and s + 1
         top = band_top(scheme + 1, percent)
         k = differing(top, percent)
         if k == 0:
@@ -308,7 +308,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     columns, n_classes = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     packed = rows.mapInArrow(_columns(n, max(1, ceil(columns / BLOCK_COLUMNS))), "block long, keys binary, counts binary, grams binary")
     shared = packed.groupBy("block").applyInArrow(_shared(max(1, ceil(n_classes / CLASSES_IN_RANGE))), "range long, keys binary, shared binary")
-    left = settle(
+    left = settle_narrow(
         shared.groupBy("range")
         .applyInArrow(_summed, "class_key long, shared long")
         .join(classes, "class_key")
@@ -343,7 +343,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     labels = components(found.where("a <> b"), "a", "b").withColumnRenamed("node", "class_key")
     counts = found.where("a = b").groupBy(F.col("a").alias("class_key")).agg(F.sum("links").alias("links"))
 
-    linked = settle(labels.join(classes.select("class_key", "class_id"), "class_key"))
+    linked = settle_narrow(labels.join(classes.select("class_key", "class_id"), "class_key"))
     smallest = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = linked.join(smallest, "label").select("class_key", "component_id")
     by_class = (
