@@ -24,12 +24,13 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import settle, table
+from tilewright.llm.common import stash, table
 from tilewright.llm.kernel import chunks, rolling, span_hashes
 
-ORDER = 7  # with the predicted byte, eight bytes: one 64-bit key
+ORDER = 5  # with the predicted byte, six bytes of a 64-bit key; at most 7
 SPACE, END = 0x20, 0x0A
 BATCH_BYTES = 16 << 20
 RANGE_BYTES = 48 << 20
@@ -84,7 +85,7 @@ def windows(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _asked(ranges: int):
-    """Per batch and range: the distinct words' hashes (sorted), training counts, lengths and bytes."""
+    """Per batch and range: the distinct words' bytes and lengths in hash order, and their training counts."""
 
     def run(batch: pa.Table) -> pa.Table:
         data, starts, lengths, hashes, owners = batch_words(batch.column("text"))
@@ -94,12 +95,11 @@ def _asked(ranges: int):
         place = range_of(names, ranges)
         order = np.argsort(place, kind="stable")
         cut = np.searchsorted(place[order], np.arange(ranges + 1))
-        out: dict[str, list] = {"range": [], "hashes": [], "counts": [], "lengths": [], "bytes": []}
+        out: dict[str, list] = {"range": [], "counts": [], "lengths": [], "bytes": []}
         for r in np.flatnonzero(np.diff(cut)):
             some = order[cut[r] : cut[r + 1]]
             out["range"].append(int(r))
-            out["hashes"].append(names[some].tobytes())
-            out["counts"].append(counts[some].tobytes())
+            out["counts"].append(counts[some].astype(np.int32).tobytes())
             out["lengths"].append(lengths[first[some]].astype(np.int32).tobytes())
             out["bytes"].append(spans(data, starts[first[some]], lengths[first[some]]).tobytes())
         number = batch.column("batch")[0].as_py()
@@ -112,9 +112,12 @@ def _vocabulary(parts: pa.Table) -> pa.Table:
     """A range's distinct words with summed counts (batch -1), and per batch its words' places among them."""
     number = parts.column("range")[0].as_py()
     read = lambda name, kind: [np.frombuffer(x, kind) for x in parts.column(name).to_pylist()]
-    hashes = read("hashes", np.uint64)
+    hashes = []
+    for own, size in zip(read("bytes", np.uint8), read("lengths", np.int32), strict=True):
+        ends = np.cumsum(size, dtype=np.int64)
+        hashes.append(span_hashes(rolling(own), ends - size, ends))
     names, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate(read("counts", np.int64)), minlength=len(names)).astype(np.int64)
+    counts = np.bincount(which, weights=np.concatenate(read("counts", np.int32)), minlength=len(names)).astype(np.int64)
     lengths = np.concatenate(read("lengths", np.int32)).astype(np.int64)
     data = np.concatenate(read("bytes", np.uint8))
     starts = np.cumsum(lengths) - lengths
@@ -153,18 +156,23 @@ def trie_scores(counted: DataFrame) -> DataFrame:
     level = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
     rows = counted.select("n", "key", level.alias("j"))
     mask = F.expr("IF(j = 7, -1L, shiftleft(1L, 8 * (j + 1)) - 1L)")
-    nodes = settle(rows.select("j", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("j", "key").agg(F.sum("n").alias("c")))
+    nodes = stash(rows.select("j", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("j", "key").agg(F.sum("n").alias("c")), "nodes")
     # the same byte one order lower: at most 256 longer contexts share it
     lower = nodes.select((F.col("j") + 1).alias("j"), F.col("key").alias("suffix"), F.col("c").alias("c_low"))
     cut = F.expr("shiftleft(1L, 8 * j) - 1L")
     paired = nodes.withColumn("suffix", F.col("key").bitwiseAND(cut)).join(lower, ["j", "suffix"], "left").withColumn("context", F.shiftrightunsigned("key", 8))
-    paired = settle(paired.select("j", "key", "suffix", "context", "c", F.coalesce("c_low", F.lit(0)).alias("c_low")))
-    contexts = paired.groupBy("j", "context").agg(
-        F.sum("c").alias("n"),
-        F.sum((F.col("c") > 0).cast("long")).alias("d"),
-        F.sum(F.when(F.col("c") > 0, F.col("c_low"))).alias("x"),
+    # a context holds at most 256 rows, so its window is small
+    whole = W.partitionBy("j", "context")
+    full = paired.select(
+        "j",
+        "key",
+        "suffix",
+        "c",
+        F.sum("c").over(whole).alias("n"),
+        F.sum((F.col("c") > 0).cast("long")).over(whole).alias("d"),
+        F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("c_low"))).over(whole), F.lit(0)).alias("x"),
     )
-    full = settle(paired.join(contexts, ["j", "context"]).select("j", "key", "suffix", "c", "n", "d", F.coalesce("x", F.lit(0)).alias("x")))
+    full = stash(full, "trie")
     # escape: log probability after escaping from this context; start: with this context as the longest
     plain = lambda x: F.log10(x.cast("double"))
     escape = -plain(F.greatest(256 - F.col("d"), F.lit(1)))
@@ -243,13 +251,13 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     size, ends = size or 0, ends or 0
     batches, ranges = max(1, ceil(size / BATCH_BYTES)), max(1, ceil(size / RANGE_BYTES))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).withColumn("trained", ~F.col("held_out"))
-    asked = rows.select("batch", "text", "trained").groupBy("batch").applyInArrow(_asked(ranges), "batch long, range long, hashes binary, counts binary, lengths binary, bytes binary")
-    words = settle(asked.groupBy("range").applyInArrow(_vocabulary, VOCABULARY))
+    asked = rows.select("batch", "text", "trained").groupBy("batch").applyInArrow(_asked(ranges), "batch long, range long, counts binary, lengths binary, bytes binary")
+    words = stash(asked.groupBy("range").applyInArrow(_vocabulary, VOCABULARY), "words")
     total, known = words.agg(F.sum("total"), F.sum("known")).first()
     n, v = (total or 0) + ends, (known or 0) + (ends > 0)
     windows_of = words.where("batch = -1").select("range", "counts", "lengths", "bytes").mapInArrow(_windows, "range long, key long, n long")
     end_mark = spark.range(1).select(F.lit(END).cast("long").alias("key"), F.lit(ends).cast("long").alias("n"))
-    scored = settle(trie_scores(windows_of.select("key", "n").unionAll(end_mark).groupBy("key").agg(F.sum("n").alias("n"))))
+    scored = stash(trie_scores(windows_of.select("key", "n").unionAll(end_mark).groupBy("key").agg(F.sum("n").alias("n"))), "scores")
     end_score = scored.where(F.col("key") == END).first()["score"]
     needed = windows_of.select("range", "key").join(scored, "key")
     answers = words.groupBy("range").cogroup(needed.groupBy("range")).applyInArrow(_answers, "batch long, range long, counts binary, scores binary")
