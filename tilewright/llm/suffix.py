@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import settle, table
+from tilewright.llm.common import stash, table
 from tilewright.llm.kernel import Chunk, chunks, mix, powers, rolling
 
 LENGTH = 400
@@ -306,13 +306,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
-    found = settle(rows.select("rk", "text").mapInArrow(_segments(length, gram), "rk long, anchor long, digest long, first int, last int"))
-    folded = settle(
-        found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "first", "last")).alias("one")).select("anchor", "digest", "copies", "one.*")
+    found = stash(rows.select("rk", "text").mapInArrow(_segments(length, gram), "rk long, anchor long, digest long, first int, last int"), "segments")
+    # anchors met once, the bulk, leave before anything is folded
+    met = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = stash(found.join(met, "anchor", "left_semi"), "met")
+    folded = stash(
+        found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "first", "last")).alias("one")).select("anchor", "digest", "copies", "one.*"),
+        "folded",
     )
     repeated = found.join(folded.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"]).select("rk", F.col("first").alias("lo"), F.col("last").alias("hi"))
     shared = folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 AND least = 1")
-    asked = settle(folded.join(shared, "anchor").select("rk", "anchor", "copies", (F.col("kinds") > crowd).alias("crowded"), "first", "last"))
+    asked = stash(folded.join(shared, "anchor").select("rk", "anchor", "copies", (F.col("kinds") > crowd).alias("crowded"), "first", "last"), "asked")
     sizes = asked.agg(
         F.coalesce(F.sum(F.when(~F.col("crowded"), F.col("last") - F.col("first") + length)), F.lit(0)).alias("index"),
         F.coalesce(F.sum(F.when(F.col("crowded"), F.col("last") - F.col("first") + 1)), F.lit(0)).alias("windows"),
@@ -322,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     slices = rows.join(wanted, "rk").select("rk", "text", "wanted").mapInArrow(
         _sliced(length), "rk long, anchor long, copies long, crowded boolean, first int, bytes binary"
     ).dropDuplicates(["rk", "first"])
-    slices = settle(slices)
+    slices = stash(slices, "slices")
     blocks = max(1, ceil(sizes["index"] / BLOCK_BYTES))
     indexed = (
         slices.where("not crowded")
