@@ -6,7 +6,9 @@ failure rate, and the host's verdict joins back to its documents.
 
 Verdict of a document: rejected if the base rules fail, if ``own_rules`` of its soft
 rules fail, or if its host is bad (shrunk failure rate over ``bad_rate``) and one of
-its soft rules fails.  A clean document is kept whatever its host.
+its soft rules fails.  A clean document is kept whatever its host.  With the default
+``own_rules`` of 1 the last case is part of the second: the host's verdict is reported
+but changes no row of ``kept``; from 2 on it decides.
 
 Scale: one pass, a map-side combined sum per host, and a join of the host table.  The
 measures are recomputed rather than stored between the two uses of the input.
