@@ -102,6 +102,23 @@ def test_mix_keeps_expected_tokens(documents):
     assert both <= 0.3001 * sum(r.n_tokens for r in rows)
 
 
+def test_rare_values_leave_the_kept_share(documents):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(40, 60), ("en", "de", "fr", "es")[min(i % 10, 3)], f"s{i % 7}") for i in range(1400)]
+    share = lambda extra: (lambda got: sum(r.n_tokens * r.probability for r in got) / sum(r.n_tokens for r in got))(M.mix(documents(rows + extra)).collect())
+    plain = share([])
+    assert share([(9000, "w " * 20, "xx", "s0")]) == pytest.approx(plain, rel=0.05)
+    assert share([(9000, "w " * 20, None, "s0")]) == pytest.approx(plain, rel=0.05)
+    assert share([(9000, "w " * 20, "en", "tiny")]) == pytest.approx(plain, rel=0.05)
+
+
+def test_clipped_cells_hand_on_their_share(documents):
+    docs = documents([(i, "w " * 50, "en", "big") for i in range(1000)] + [(2000, "w " * 20, "en", "tiny")])
+    rows = M.mix(docs, (M.Marginal("source", {"big": 0.9, "tiny": 0.1}), M.Marginal("lang", {"en": 1.0})), keep_share=0.5).collect()
+    assert {r.probability for r in rows if r.source == "tiny"} == {1.0}
+    assert sum(r.n_tokens * r.probability for r in rows) == pytest.approx(0.5 * 50_020, rel=1e-6)
+
+
 def test_mix_of_odd_rows(odd, empty, documents):
     rows = M.mix(odd).collect()
     assert len(rows) == 12 and all(r.n_tokens == 0 for r in rows if r.doc_id in (1, 2, 3))

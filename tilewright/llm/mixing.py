@@ -3,7 +3,8 @@
 Documents are counted into cells (source, language, topic) of tokens.  Raking scales
 the cell weights in turn until every marginal has its target share.  A document's
 keep probability is its cell's weight over its cell's tokens, scaled so that none
-exceeds one, and a document stays when the hash of its id falls below it.
+exceeds one but in the scarcest cells, which are clipped there while they hold at most
+``CLIPPED_SHARE`` of all tokens together.  A document stays when the hash of its id falls below it.
 
 The fit runs on the cell table alone, whose size is the number of distinct
 combinations, not of documents.  Up to ``ONE_TASK_CELLS`` cells (counted first) are
@@ -23,14 +24,15 @@ from tilewright.llm.common import settle, table, unit_hash, word_count
 
 ONE_TASK_CELLS = 100_000
 SWEEPS_PER_PLAN = 6
+CLIPPED_SHARE = 0.001
 
 
 @dataclass(frozen=True)
 class Marginal:
     """Target shares of one dimension.
 
-    ``shares`` names them; values it lacks share ``rest`` in proportion to their
-    tokens.  Without shares, the targets are the observed shares to the power ``temper``.
+    ``shares`` names them; values it lacks share ``rest``, but no
+    more than their own share, in proportion to their tokens.  Without shares, the targets are the observed shares to the power ``temper``.
     """
 
     column: str
@@ -77,7 +79,7 @@ def rake(cells: DataFrame, marginals: Sequence[Marginal], tolerance: float = 1e-
         else:
             named = F.create_map(*[F.lit(x) for k, v in m.shares.items() for x in (k, float(v))])
             loose = F.sum(F.when(named[F.col(m.column)].isNull(), F.col("tokens"))).over(W.partitionBy()) / total
-            goal = F.coalesce(named[F.col(m.column)], F.lit(m.rest) * share / loose)
+            goal = F.coalesce(named[F.col(m.column)], F.least(F.lit(m.rest), loose) * share / loose)
         out = out.withColumn(f"_share_{m.column}", F.col("tokens") / F.sum("tokens").over(by)).withColumn(f"_goal_{m.column}", goal)
     for m in marginals:  # a value's goal counts once, spread over its cells
         spread = F.sum(F.col(f"_goal_{m.column}") * F.col(f"_share_{m.column}")).over(W.partitionBy())
@@ -101,8 +103,9 @@ def rake(cells: DataFrame, marginals: Sequence[Marginal], tolerance: float = 1e-
 def mix(docs: DataFrame, marginals: Sequence[Marginal] = DEFAULT_MARGINALS, keep_share: float = 0.8, seed: int = 11) -> DataFrame:
     """``docs`` plus topic, n_tokens, probability, draw and kept.
 
-    The expected kept tokens meet every target share.  Their sum is at most
-    ``keep_share`` of all tokens, less where a scarce cell would need more than it has.
+    The expected kept tokens meet every target share, but for what the clipped cells
+    lack.  Their sum is at most ``keep_share`` of all tokens, less where a cell that is
+    not clipped would need more than it has.
     Null sources, languages and texts form the values "" and no tokens; a document
     without tokens takes its cell's probability, or 0 where the whole cell has none.
     Equal doc_ids draw alike.  Extra columns stay; those named like the added are replaced.
@@ -119,8 +122,20 @@ def mix(docs: DataFrame, marginals: Sequence[Marginal] = DEFAULT_MARGINALS, keep
     fitted = rake(cells, marginals)
     whole = W.partitionBy()
     ratio = F.col("weight") / F.col("tokens")
+    total = F.sum("tokens").over(whole)
+    falling = W.orderBy(F.desc("_ratio")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    ranked = (
+        fitted.withColumn("_ratio", ratio)
+        .withColumn("_held", F.sum("tokens").over(falling))
+        .withColumn("_weight_left", F.sum("weight").over(whole) - F.sum("weight").over(falling))
+        .withColumn("_clipped", F.col("_held") <= CLIPPED_SHARE * total)
+    )
+    # what clipped cells cannot give the others take over: of the scales by how many are clipped the largest is right
+    goal = F.lit(keep_share) * total
+    filled = F.greatest(goal, F.max(F.when(F.col("_clipped"), (goal - F.col("_held")) / F.col("_weight_left"))).over(whole))
+    scale = F.least(filled, 1 / F.max(F.when(~F.col("_clipped"), F.col("_ratio"))).over(whole))
     rates = settle(
-        fitted.withColumn("_rate", ratio * F.least(F.lit(keep_share) * F.sum("tokens").over(whole), 1 / F.max(ratio).over(whole)))
+        ranked.withColumn("_rate", F.least(F.col("_ratio") * scale, F.lit(1.0)))
         .select(*[F.col(n).alias(f"_cell_{n}") for n in names], F.round("_rate", 9).alias("_rate"))
     )
     matched = rows.join(F.broadcast(rates) if _bounded(rates) else rates, [key[n] == F.col(f"_cell_{n}") for n in names], "left")
