@@ -176,6 +176,18 @@ def test_templates_catch_verbatim_and_changed(spark, documents):
     assert not any(got[k][0] for k in (3, 5, 7, 8, 9))
 
 
+def test_templates_catch_verbatim_of_any_shape(spark, documents):
+    items = [ITEMS[1], "Compute 12 * 35", "7 14 21 28 35 42 49 56 63 70", "Then Anna and Berta Smith met Carl Jones and Dora Brown", ITEMS[0]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents([
+        *((i, f"Some lead text, {t.upper()} and a tail") for i, t in enumerate(items)), *((10 + i, f"Some lead text, {t}. And a tail") for i, t in enumerate(items)),
+        (20, "lead, " + items[4].upper().replace("12", "40").replace("30", "77").replace("18", "90").replace("ANNA", "anna") + " TAIL"), (30, "Compute 12 * 36"), (31, "7 15 21 28 36 42 49 57 63 70"),
+    ])
+    got = {r.doc_id: (r.contaminated, r.first_item) for r in C.decontaminate(docs, bench).collect()}
+    assert all(got[k] == (True, k % 10) for k in (*range(5), *range(10, 15)))
+    assert got[20] == (True, 4) and not got[30][0] and not got[31][0]
+
+
 def test_filter_changes_nothing(spark, documents, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     docs = documents([(i, f"lead {i} {ITEMS[i % 3]} tail") for i in range(9)])

@@ -5,7 +5,8 @@ placeholders of their words, other words lower case without punctuation.  Window
 consecutive template words of the documents are hash-joined with the benchmark's.  The
 values behind the placeholders ("slots") of the joined windows must then map one to one
 between item and document, which accepts re-parameterised questions and refuses
-windows that agree by shape only.
+windows that agree by shape only.  Windows also join word for word, case ignored, so that
+an item in capitals, or one made mostly of numbers or names, meets its own copies.
 
 Scale: one Arrow pass over the documents.  Where the benchmark's window hashes number
 at most ``FILTER_WINDOWS`` (counted first), they go to the workers and only windows
@@ -26,6 +27,7 @@ from tilewright.llm.common import settle, table
 from tilewright.llm.kernel import Chunk, Words, chunks, gram_hashes, grams_of, mix, rolling, span_hashes
 
 WINDOW = 8
+CAPITALS = 3  # words in a row without a lower-case letter that are no names
 FILTER_WINDOWS = 1_000_000
 
 #: Words read as units directly after a number, by dimension.
@@ -46,6 +48,7 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"'(*"]] = True
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+EXACT = np.uint64(0x9E3779B97F4A7C15)  # sets hashes of words apart from those of templates
 
 
 def _hash_of(word: str) -> np.uint64:
@@ -56,11 +59,24 @@ def _hash_of(word: str) -> np.uint64:
 _UNIT_HASHES = np.array(sorted({(_hash_of(w), k + 1) for k, words in enumerate(UNITS.values()) for w in words.split()}), dtype=[("hash", np.uint64), ("kind", np.int64)])
 
 
+def _shouted(data: np.ndarray, words: Words) -> np.ndarray:
+    """Words in a run of CAPITALS or more words of capitals within a text; words without letters neither count nor end it."""
+    count = lambda held: (lambda c: c[words.ends] - c[words.starts])(np.concatenate(([0], np.cumsum(held))))
+    lower, upper = count(((data >= 97) & (data <= 122)) | (data >= 128)), count((data >= 65) & (data <= 90))
+    out = np.zeros(len(words.starts), bool)
+    spoken = np.flatnonzero(lower + upper > 0)
+    if len(spoken):
+        high, owner = lower[spoken] == 0, words.owners()[spoken]
+        run = np.concatenate(([0], np.cumsum((high[1:] != high[:-1]) | (owner[1:] != owner[:-1]))))
+        out[spoken] = high & (np.bincount(run)[run] >= CAPITALS)
+    return out
+
+
 def template_words(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words by letters and digits; per word its template hash, its kind and the hash of its own value.
 
     A dot or comma between digits belongs to the number.  A name is a word with an
-    initial capital that does not open a sentence.
+    initial capital that neither opens a sentence nor lies in a run of capitals.
     """
     data = chunk.data
     solid = _WORD_BYTE[data]
@@ -83,7 +99,7 @@ def template_words(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
         opens[1:] = stops[starts[1:]] > stops[ends[:-1]]
         opens[words.first[:-1][words.first[:-1] < len(starts)]] = True
         lead = data[starts]
-        kinds[(lead >= 65) & (lead <= 90) & ~opens] = NAME
+        kinds[(lead >= 65) & (lead <= 90) & ~opens & ~_shouted(data, words)] = NAME
         number = digit[starts]
         kinds[number] = NUMBER
         after = np.zeros(len(starts), bool)
@@ -102,24 +118,30 @@ def template_words(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
     return words, mix(code), kinds, values
 
 
-SCHEMA = "_row {kind}, hash long, at int, size int, total int, slots array<long>"
+SCHEMA = "_row {kind}, hash long, at int, size int, total int, exact boolean, slots array<long>"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of each size whose words are at least half literal; ``whole``: a text shorter than WINDOW gives itself."""
+    """Windows of each size: templates that are at least half literal, and ``exact`` ones by the words themselves.
+
+    ``whole``: a text shorter than WINDOW gives itself.
+    """
     for batch in batches:
-        rows, hashes, ats, used, totals, slots = [], [], [], [], [], []
+        rows, hashes, ats, used, totals, exacts, slots = [], [], [], [], [], [], []
         for chunk in chunks(batch.column(1)):
             words, code, kinds, values = template_words(chunk)
             literal = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
             counts = np.diff(words.first)
             owner = words.owners()
-            for size in sizes:
-                grams = gram_hashes(code, size).view(np.int64)
+            verbatim = mix(values ^ EXACT)
+            for size, exact in ((s, e) for s in sizes for e in (False, True)):
+                grams = gram_hashes(verbatim if exact else code, size).view(np.int64)
                 if not len(grams):
                     continue
                 at = np.arange(len(grams))
-                ok = (owner[: len(grams)] == owner[size - 1 :]) & (2 * (literal[at + size] - literal[at]) >= size)
+                ok = owner[: len(grams)] == owner[size - 1 :]
+                if not exact:
+                    ok &= 2 * (literal[at + size] - literal[at]) >= size
                 if wanted is not None:
                     near = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
                     ok &= wanted[near] == grams
@@ -132,6 +154,7 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.nda
                     ats.append(int(k - words.first[row]))
                     used.append(size)
                     totals.append(int(counts[row]))
+                    exacts.append(exact)
                     inside = slice(k, k + size)
                     slots.append(values[inside].view(np.int64)[kinds[inside] != LITERAL].tolist())
         yield pa.RecordBatch.from_arrays(
@@ -139,9 +162,10 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.nda
                 batch.column(0).take(pa.array(rows, pa.int64())),
                 pa.array(hashes, pa.int64()),
                 *(pa.array(x, pa.int32()) for x in (ats, used, totals)),
+                pa.array(exacts, pa.bool_()),
                 pa.array(slots, pa.list_(pa.int64())),
             ],
-            ["_row", "hash", "at", "size", "total", "slots"],
+            ["_row", "hash", "at", "size", "total", "exact", "slots"],
         )
 
 
@@ -171,8 +195,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str, share: float
         if not len(wanted):
             wanted = np.array([-1], np.int64)
     item_sizes = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    hits = windows(docs, key, sizes, wanted).withColumnRenamed("_row", "_doc").select("_doc", "hash", "size", "slots")
-    joined = hits.join(items.hint("merge") if wanted is None else F.broadcast(items), ["hash", "size"])
+    hits = windows(docs, key, sizes, wanted).withColumnRenamed("_row", "_doc").select("_doc", "hash", "size", "exact", "slots")
+    joined = hits.join(items.hint("merge") if wanted is None else F.broadcast(items), ["hash", "size", "exact"])
+    joined = joined.withColumn("slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")))  # the words are equal
     # pairs of values behind the same placeholder, as distinct sets: bounded by the item's own length
     pairs = (
         joined.groupBy("_doc", "item_id")
