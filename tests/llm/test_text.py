@@ -188,6 +188,22 @@ def test_templates_catch_verbatim_of_any_shape(spark, documents):
     assert got[20] == (True, 4) and not got[30][0] and not got[31][0]
 
 
+def test_templates_judge_each_occurrence(spark, documents):
+    letters = "abcdefghijklmnopqrstuvwxyzabcdefgh"
+    long = " ".join(f"{x}{k % 7}".translate(str.maketrans("0123456", "pqrstuv")) if k % 8 else str(100 + k) for k, x in enumerate(letters))
+    bench = spark.createDataFrame(list(enumerate([*ITEMS, long])), "item_id long, text string")
+    variant = lambda *v: ITEMS[0].replace("12", v[0]).replace("30", v[1]).replace("18", v[2])
+    one, two, bad = variant("40", "77", "90"), variant("41", "78", "91"), variant("18", "30", "18")
+    edited, stray = " ".join([*long.split()[:17], "just", *long.split()[17:]]), " ".join(long.split()[8:20]).replace("108", "555")
+    docs = documents([
+        (1, f"{ITEMS[0]}. {one}."), (2, f"{one}. {two}."), (3, one), (3, two), (4, f"{ITEMS[0]}. " + "filler word " * 40 + "cost 31 dollars then what do 19 apples cost at the market"),
+        (5, f"{bad}. {bad}."), (6, f"{edited}. " + "filler word " * 40 + stray),
+    ])
+    got = {r.doc_id: (r.contaminated, r.first_item, r.reparameterised) for r in C.decontaminate(docs, bench).collect()}
+    assert got[1] == (True, 0, False) and got[2] == got[3] == (True, 0, True) and got[4] == (True, 0, False)
+    assert not got[5][0] and got[6] == (True, 3, False)
+
+
 def test_filter_changes_nothing(spark, documents, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     docs = documents([(i, f"lead {i} {ITEMS[i % 3]} tail") for i in range(9)])

@@ -4,7 +4,7 @@ Texts are canonicalised to templates: numbers, names and units become the typed
 placeholders of their words, other words lower case without punctuation.  Windows of
 consecutive template words of the documents are hash-joined with the benchmark's.  The
 values behind the placeholders ("slots") of the joined windows must then map one to one
-between item and document, which accepts re-parameterised questions and refuses
+between item and some occurrence in the document, which accepts re-parameterised questions and refuses
 windows that agree by shape only.  Windows also join word for word, case ignored, so that
 an item in capitals, or one made mostly of numbers or names, meets its own copies.
 
@@ -179,7 +179,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str, share: float
     """Pairs (key, item_id) with a joined window: matched and all windows of the item, slot consistency, verdict.
 
     A pair is contaminated if at least ``share`` of the item's windows occur in the
-    document and their slots map one to one.  Items shorter than a window match as one
+    document and their slots map one to one, at one offset, at offsets near each other or
+    in the whole document.  The figures are those of the best such occurrence.  Items shorter than a window match as one
     window of their own length; items and documents without words match nothing.
     """
     spark = docs.sparkSession
@@ -195,12 +196,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str, share: float
         if not len(wanted):
             wanted = np.array([-1], np.int64)
     item_sizes = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    hits = windows(docs, key, sizes, wanted).withColumnRenamed("_row", "_doc").select("_doc", "hash", "size", "exact", "slots")
+    texts = docs.select(F.struct(F.col(key).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("body")).alias("_key"), "text")
+    hits = windows(texts, "_key", sizes, wanted).select("_row", "hash", "size", "exact", "slots", "at")
     joined = hits.join(items.hint("merge") if wanted is None else F.broadcast(items), ["hash", "size", "exact"])
     joined = joined.withColumn("slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")))  # the words are equal
+    # an occurrence: one offset, or offsets that lie near each other, as words put in or left out move them
+    offset = F.col("at") - F.col("item_at")
+    near = lambda shift: F.floor((offset + shift) / (2 * WINDOW)).cast("long")
+    body = F.col("_row.body")
+    places = [(0, None, None), (1, body, offset.cast("long")), (2, body, near(0)), (3, body, near(WINDOW))]
+    place = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(b).cast("long").alias("body"), F.lit(o).cast("long").alias("spot")) for k, b, o in places]))
     # pairs of values behind the same placeholder, as distinct sets: bounded by the item's own length
     pairs = (
-        joined.groupBy("_doc", "item_id")
+        joined.select(F.col("_row.doc").alias("_doc"), "item_id", "item_at", "item_slots", "slots", place.alias("_place"))
+        .groupBy("_doc", "item_id", "_place")
         .agg(
             F.countDistinct("item_at").alias("matched"),
             F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
@@ -209,14 +218,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str, share: float
     )
     distinct = lambda field: F.size(F.array_distinct(F.col(f"pairs.{field}")))
     consistent = (distinct("item_slots") == F.size("pairs")) & (distinct("slots") == F.size("pairs"))
-    return pairs.select(
+    judged = pairs.select(
+        "_doc",
+        "item_id",
+        "item_windows",
+        F.struct(
+            (consistent & (F.col("matched") >= share * F.col("item_windows"))).alias("contaminated"),
+            F.col("matched").cast("long").alias("matched"),
+            consistent.alias("slots_agree"),
+            (~F.exists(F.col("pairs"), lambda p: p["item_slots"] != p["slots"])).alias("plain"),
+        ).alias("best"),
+    )
+    best = judged.groupBy("_doc", "item_id").agg(F.max("item_windows").alias("item_windows"), F.max("best").alias("best"))
+    return best.select(
         F.col("_doc").alias(key),
         "item_id",
-        F.col("matched").cast("long").alias("matched"),
+        "best.matched",
         "item_windows",
-        consistent.alias("slots_agree"),
-        F.exists(F.col("pairs"), lambda p: p["item_slots"] != p["slots"]).alias("reparameterised"),
-        (consistent & (F.col("matched") >= share * F.col("item_windows"))).alias("contaminated"),
+        "best.slots_agree",
+        (~F.col("best.plain")).alias("reparameterised"),
+        "best.contaminated",
     )
 
 
@@ -224,7 +245,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     """One row per row of ``docs``: doc_id, contaminated, n_items, first_item, matched, reparameterised.
 
     Counts cover contaminating items; without any they are 0 and null.  Null and empty
-    texts are clean; repeated doc_ids are pooled, as one document, for the verdict.
+    texts are clean; repeated doc_ids share one verdict, which any of their rows or all
+    of them together can bring.
     """
     found = (
         contamination(docs, benchmark, "doc_id", share)
