@@ -273,6 +273,12 @@ def test_ppm_equals_definition(documents, monkeypatch):
         assert r.score == pytest.approx(want[i], rel=1e-9)
 
 
+def test_ppm_reads_seven_bytes(documents):
+    docs = documents([(i, "abcdefgx zbcdefgy") for i in range(5)] + [(8, "abcdefgx"), (9, "abcdefgy")])
+    got = {r.doc_id: r.score for r in L.score_documents(docs, lambda i: i > 7).collect()}
+    assert got[8] - got[9] > 0.5
+
+
 def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import stash, table
 from tilewright.llm.kernel import chunks, rolling, span_hashes
 
-ORDER = 5  # with the predicted byte, six bytes of a 64-bit key; at most 7
+ORDER = 7  # with the predicted byte, the eight bytes of a 64-bit key; at most 7
 SPACE, END = 0x20, 0x0A
 BATCH_BYTES = 16 << 20
 RANGE_BYTES = 48 << 20
