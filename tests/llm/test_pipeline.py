@@ -97,6 +97,14 @@ def test_repeated_rows_leave_one(spark, data, documents):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in P.near_duplicates(spark, docs, data).collect()) == [(False, 3), (False, 6), (True, 0)]
 
 
+def test_repeated_rows_leave_unlinked_ones(spark, data, documents):
+    text = "one two three four five six seven " + "eight nine ten eleven twelve"
+    apart = ["alpha beta gamma delta epsilon zeta", "red green blue black white grey", "north east south west up down", "iron gold lead zinc tin silver"]
+    docs = documents([(3, text), (3, text), (3, apart[0]), (5, apart[1]), (5, apart[2]), (None, apart[3]), (None, "yes " + apart[0][::-1])])
+    got = sorted((r.doc_id or 0, r.text) for r in P.near_duplicates(spark, docs, data).collect())
+    assert got == sorted([(3, text), (3, apart[0]), (5, apart[1]), (5, apart[2]), (0, apart[3]), (0, "yes " + apart[0][::-1])])
+
+
 def test_columns_stay(spark, data, odd):
     for _, stage in P.STAGES[:-1]:
         assert set(stage(spark, odd, data).columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
