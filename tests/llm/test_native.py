@@ -162,6 +162,15 @@ def test_order_and_status(spark):
     assert got["c1"].json == T.canonical(body) and list(body) == sorted(body) and body["arguments"] == {"a": 1, "b": 1}
 
 
+@pytest.mark.parametrize(("calls", "one_task"), [(200, 200_000), (12, 0)])
+def test_long_graphs_of_two_needs(spark, monkeypatch, calls, one_task):
+    monkeypatch.setattr(T, "ONE_TASK_LINKS", one_task)
+    rows = [(f"c{i}", i, "add", '{"a": 1}', [f"c{k}" for k in (i - 1, i - 2) if k >= 0], "") for i in range(calls)]
+    got = linked(spark, [*rows, ("p", 900, "add", '{"a": 1}', ["q", "c3"], ""), ("q", 901, "add", '{"a": 1}', ["p"], "")], [("c0", 999, "r", "")])
+    assert [got[f"c{i}"].depth for i in range(calls)] == list(range(calls))
+    assert {k for k, r in got.items() if r.status == "cycle"} == {"p", "q"}
+
+
 def test_empty_chat(spark, data):
     rows = spark.read.parquet(f"{data}/conversations.parquet")
     assert T.link_calls(*T.chat_calls(rows.limit(0)), T.CHAT_SCHEMAS).count() == 0

@@ -6,24 +6,28 @@ its result becomes one line of canonical JSON (sorted keys, no spaces).
 
 The output has a row per call, not per conversation, so a conversation that holds a
 third of all messages is no single value or task.  Depths come from pointer doubling,
-about log2 of the longest chain rounds, each an equi-join on unique identifiers.
+about log2 of the longest chain rounds, each an equi-join on unique identifiers.  Calls
+with several needs take a round a layer, without a bound on rounds; where a table has
+such calls and at most ``ONE_TASK_LINKS`` needs (counted first), one task orders it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections import defaultdict, deque
+from collections.abc import Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import settle, table
+from tilewright.llm.common import settle, settle_narrow, table
 
 #: JSON kinds of schemas and the type names that a parsed value may have.
 KINDS = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL\\([0-9]+,0\\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 
-MAX_ROUNDS = 64
+ONE_TASK_LINKS = 200_000
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str, Any]]) -> Column:
@@ -62,6 +66,29 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Mappi
     return F.array_sort(out)
 
 
+def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(call_id, depth) of the calls with needs, from all (call_id, needs); cycles and what waits for them are absent."""
+    wanted, follow = defaultdict(set), defaultdict(list)
+    kind = pa.string()
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for call, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if need not in wanted[call]:
+                wanted[call].add(need)
+                follow[need].append(call)
+    waits, depth = {c: len(n) for c, n in wanted.items()}, {}
+    ready = deque((n, 0) for n in follow if n not in wanted)
+    while ready:
+        call, d = ready.popleft()
+        for other in follow.get(call, ()):
+            depth[other] = max(depth.get(other, 0), d + 1)
+            waits[other] -= 1
+            if not waits[other]:
+                ready.append((other, depth[other]))
+    known = [c for c in depth if not waits[c]]
+    yield pa.RecordBatch.from_arrays([pa.array(known, kind), pa.array([depth[c] for c in known], pa.int64())], ["call_id", "depth"])
+
+
 def depths(calls: DataFrame, links: DataFrame) -> DataFrame:
     """(call_id, depth): 0 without dependencies, else one more than the deepest dependency; cycles are absent.
 
@@ -82,11 +109,14 @@ def depths(calls: DataFrame, links: DataFrame) -> DataFrame:
     )
     several = settle(links.join(counted.where("n > 1").select("call_id"), "call_id"))
     branching = not several.isEmpty()
-    open_before, idle = None, 0
-    for _ in range(MAX_ROUNDS):
+    if branching and links.count() <= ONE_TASK_LINKS:
+        kind = dict(links.dtypes)["call_id"]
+        ordered = links.select("call_id", "needs").coalesce(1).mapInArrow(_layers, f"call_id {kind}, depth long")
+        return settle(state.where("depth = 0").select("call_id", "depth").unionByName(ordered))
+    open_before = None
+    while True:  # a round resolves every call whose needs are known: without one, the rest are cycles
         still = state.where("depth IS NULL").count()
-        idle = idle + 1 if still == open_before else 0
-        if still == 0 or idle > 40:
+        if still in (0, open_before):
             break
         open_before = still
         other = state.select(F.col("call_id").alias("ahead"), F.col("depth").alias("o_depth"), F.col("ahead").alias("o_ahead"), F.col("steps").alias("o_steps"))
@@ -101,7 +131,7 @@ def depths(calls: DataFrame, links: DataFrame) -> DataFrame:
             known = state.select(F.col("call_id").alias("needs"), F.col("depth").alias("d"))
             ready = several.join(known, "needs").groupBy("call_id").agg(F.max("d").alias("d"), F.bool_and(F.col("d").isNotNull()).alias("all"))
             rest = rest.join(ready.where("all").select("call_id", "d"), "call_id", "left").select("call_id", F.coalesce("depth", F.col("d") + 1).alias("depth"), "ahead", "steps")
-        state = settle(rest.unionByName(jumped))
+        state = settle_narrow(rest.unionByName(jumped))
     return state.where("depth IS NOT NULL").select("call_id", "depth")
 
 
