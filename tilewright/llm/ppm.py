@@ -1,272 +1,409 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The model reads a text as its lower-cased words, each closed by a space, and an end
-mark.  A byte is predicted from up to ``ORDER`` preceding bytes of its word (zeros
-before the word's start).  The context trie holds a count for every context and next
-byte of the training words.  A byte not seen in a context escapes to the next shorter
-one with probability d / 2n, d the distinct and n the counted bytes there (a seen byte
-of count c has (2c - 1) / 2n), after removing the bytes that the longer context has
-seen (symbol exclusion); below order 0 the remaining byte values are equally likely.  The code lengths are pretrained: all
-training text is counted first, then every text is scored.
-
-Scale: a byte's probability depends on its window of ORDER + 1 bytes alone, so every
-distinct window is scored once, in joins of the trie's levels by packed 64-bit keys
-(at most 256 rows share a join key).  Distinct words collect their windows' scores,
-batches of documents ask for their distinct words, packed per (batch, word range), and
-no table is broadcast or gathered by the driver.  Only sums N and V reach the driver.
+mark.  A byte is predicted from up to ``ORDER`` preceding bytes of the text, across word
+ends (zeros before the text).  The context trie holds a count for every context and next
+byte of the training texts.  A byte not seen in a context escapes to the next shorter one
+with probability d / 2n, d the distinct and n the counted bytes there (a seen byte of
+count c has (2c - 1) / 2n), after removing the bytes that the longer context has seen
+(symbol exclusion); below order 0 the remaining byte values are equally likely.  The code
+lengths are pretrained: all training text is counted first, then every text is scored.
+
+Scale.  A byte's probability depends on its window of ORDER + 1 bytes alone.  Texts are
+cut into chunks of ``CHUNK_BYTES``; a chunk asks for its distinct windows, sorted and
+compressed to about a byte each, in ranges dealt by the three latest context bytes.  A
+range thus holds whole subtrees of the trie: one task merges the asks of its range as
+they stream in, fits the trie's levels 3 to ORDER over the distinct windows and answers
+every chunk in the order asked.  Levels 0 to 2 are summed over all chunks first; at most
+2 ** 24 counts, they go to the workers.  No document id is ever a grouping key, so
+repeated or null ids deal evenly.  A task holds its range's compressed asks and distinct
+windows; the ask table is written once, so a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import stash, table
 from tilewright.llm.kernel import chunks, rolling, span_hashes
 
-ORDER = 7  # with the predicted byte, the eight bytes of a 64-bit key; at most 7
+ORDER = 7  # with the predicted byte, the eight bytes of a 64-bit window; at least 3, at most 7
 SPACE, END = 0x20, 0x0A
-BATCH_BYTES = 16 << 20
-RANGE_BYTES = 48 << 20
+CHUNK_BYTES = 12 << 20
+RANGE_BYTES = 24 << 20
+MERGE_KEYS = 4_000_000
 
+SYMBOL = np.uint64(0xFF)
+TEXT, LOW, WINDOWS, WORDS = range(4)  # kinds of rows of the ask table
+ASKS = "chunk string, kind int, part int, names binary, counts binary"
+ANSWERS = "chunk string, kind int, part int, found binary, total long, known long"
 
-def batch_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes of a batch, and per word its start, length, hash and row."""
-    data, starts, lengths, hashes, owners = [np.zeros(0, np.uint8)], [], [], [], []
-    base = 0
+
+def context_mask(order: int) -> np.uint64:
+    """Mask of a window's ``order`` latest context bytes, which are its highest, and of its symbol."""
+    return np.uint64(((1 << (8 * order)) - 1) << (64 - 8 * order)) | SYMBOL
+
+
+# ---------------------------------------------------------------- packing
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers or floats, compressed plane by plane of their bytes."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def pack_words(words: pa.Array) -> bytes:
+    own = words.to_pylist()
+    sizes = pack(np.array([len(w) for w in own], np.uint32))
+    return len(sizes).to_bytes(8, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(own))
+
+
+def unpack_words(data: bytes) -> pa.Array:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    sizes = unpack(data[8:cut], np.uint32).astype(np.int64)
+    body = zstandard.ZstdDecompressor().decompress(data[cut:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), pa.py_buffer(body)])
+
+
+# ---------------------------------------------------------------- a chunk of texts
+
+
+@dataclass
+class Reading:
+    """Texts as the model reads them: bytes end to end, and the starts of texts and tokens.
+
+    A token is a word with its space, or the end mark; the starts have one more entry
+    than texts or tokens.
+    """
+
+    flat: np.ndarray
+    texts: np.ndarray
+    tokens: np.ndarray
+    first: np.ndarray  # per text its first token
+
+
+def read_texts(texts: pa.Array | pa.ChunkedArray) -> Reading:
+    flats, sizes, counts = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for chunk in chunks(texts):
-        words = chunk.words()
-        low = chunk.lowered()
-        hashes.append(span_hashes(rolling(low), words.starts, words.ends))
-        starts.append(words.starts + base)
-        lengths.append(words.ends - words.starts)
-        owners.append(words.owners() + chunk.rows.start)
-        data.append(low)
-        base += len(low)
-    if not starts:
-        none = np.zeros(0, np.int64)
-        return data[0], none, none, none.astype(np.uint64), none
-    return np.concatenate(data), np.concatenate(starts), np.concatenate(lengths), np.concatenate(hashes), np.concatenate(owners)
-
-
-def spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of the spans, end to end."""
-    ends = np.cumsum(lengths)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-    return data[at]
-
-
-def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(ranges)).astype(np.int64)
-
-
-def windows(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Packed windows of words laid end to end, word by word, each word's closing space last."""
-    padded = lengths + ORDER + 1
-    ends = np.cumsum(padded)
-    flat = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
-    inside = np.arange(len(data)) + np.repeat((ends - padded + ORDER) - (np.cumsum(lengths) - lengths), lengths)
-    flat[inside] = data
-    flat[ends - 1] = SPACE
-    keys = np.zeros(len(flat), np.uint64)
-    for k in range(ORDER, -1, -1):
-        keys[ORDER:] |= flat[ORDER - k : len(flat) - k] << np.uint64(8 * k)
-    keep = np.ones(len(flat), bool)
-    heads = ends - padded
-    for k in range(ORDER):
-        keep[heads + k] = False
-    return keys[keep].view(np.int64)
-
-
-def _asked(ranges: int):
-    """Per batch and range: the distinct words' bytes and lengths in hash order, and their training counts."""
-
-    def run(batch: pa.Table) -> pa.Table:
-        data, starts, lengths, hashes, owners = batch_words(batch.column("text"))
-        trained = batch.column("trained").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-        names, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(which, weights=trained[owners], minlength=len(names)).astype(np.int64)
-        place = range_of(names, ranges)
-        order = np.argsort(place, kind="stable")
-        cut = np.searchsorted(place[order], np.arange(ranges + 1))
-        out: dict[str, list] = {"range": [], "counts": [], "lengths": [], "bytes": []}
+        words, low = chunk.words(), chunk.lowered()
+        length = words.ends - words.starts
+        size = np.ones(len(length) + len(chunk), np.int64)  # end marks stay one byte
+        size[np.arange(len(length)) + words.owners()] += length
+        ends = np.cumsum(size)
+        flat = np.full(ends[-1], SPACE, np.uint8)
+        flat[ends[words.first[1:] + np.arange(len(chunk))] - 1] = END
+        held = (ends - size)[np.arange(len(length)) + words.owners()]
+        source = np.cumsum(length)
+        steps = np.arange(source[-1] if len(source) else 0) - np.repeat(source - length, length)
+        flat[steps + np.repeat(held, length)] = low[steps + np.repeat(words.starts, length)]
+        flats.append(flat)
+        sizes.append(size)
+        counts.append(np.diff(words.first) + 1)
+    tokens = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    return Reading(np.concatenate(flats), tokens[first], tokens, first)
+
+
+def windows(reading: Reading) -> np.ndarray:
+    """Per byte its window: the latest context byte highest, ..., the byte itself lowest."""
+    flat, out = reading.flat, np.zeros(len(reading.flat), np.uint64)
+    for at in range(0, len(flat), 1 << 20):
+        part = out[at : at + (1 << 20)]
+        part |= flat[at : at + len(part)]
+        for k in range(1, ORDER + 1):
+            skip = max(0, k - at)
+            part[skip:] |= flat[at + skip - k : at + len(part) - k].astype(np.uint64) << np.uint64(64 - 8 * k)
+    size = np.diff(reading.texts)
+    for age in range(min(ORDER, int(size.max(initial=0)))):  # nothing of the text before
+        out[reading.texts[:-1][size > age] + age] &= context_mask(age) if age else SYMBOL
+    return out
+
+
+def distinct_windows(reading: Reading, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order of (range, window), the ranges' bounds, and every byte's place among them."""
+    coded = pa.array(windows(reading)).dictionary_encode()
+    keys, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(keys)
+    place = ((keys[order] >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(ranges)
+    order = order[np.argsort(place, kind="stable")]
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order), dtype=np.int32)
+    return keys[order], np.searchsorted(np.sort(place), np.arange(ranges + 1)), back[places]
+
+
+def distinct_words(reading: Reading, ranges: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens in order of range, the ranges' bounds, and every token's place among them."""
+    tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(reading.tokens) - 1, [None, pa.py_buffer(reading.tokens), pa.py_buffer(reading.flat)])
+    coded = tokens.dictionary_encode()
+    names, places = coded.dictionary, coded.indices.to_numpy()
+    spans = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, names.offset * 8)
+    data = np.frombuffer(names.buffers()[2], np.uint8) if len(names) else np.zeros(0, np.uint8)
+    place = (span_hashes(rolling(data), spans[:-1], spans[1:]) >> np.uint64(20)) % np.uint64(ranges)
+    order = np.argsort(place, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return names.take(pa.array(order)), np.searchsorted(place[order], np.arange(ranges + 1)), back[places]
+
+
+def _write(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _asks(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ASKS: per chunk its texts, low counts, and per range its distinct windows and words with training counts."""
+
+    def chunk_rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        reading, name = read_texts(rows.column("text")), uuid.uuid4().hex
+        trained = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        out: list[tuple] = [(name, TEXT, 0, _write(rows), b"")]
+        keys, cut, places = distinct_windows(reading, ranges)
+        counts = np.bincount(places[np.repeat(trained, np.diff(reading.texts))], minlength=len(keys)).astype(np.uint32)
+        codes, which = np.unique((keys >> np.uint64(48) << np.uint64(8)) | (keys & SYMBOL), return_inverse=True)
+        low = np.bincount(which, weights=counts, minlength=len(codes)).astype(np.uint64)
+        out.append((name, LOW, 0, pack_sorted(codes[low > 0]), pack(low[low > 0])))
+        for r in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[r], cut[r + 1])
+            out.append((name, WINDOWS, int(r), pack_sorted(keys[own]), pack(counts[own])))
+        words, cut, places = distinct_words(reading, ranges)
+        counts = np.bincount(places[np.repeat(trained, np.diff(reading.first))], minlength=len(words)).astype(np.uint32)
         for r in np.flatnonzero(np.diff(cut)):
-            some = order[cut[r] : cut[r + 1]]
-            out["range"].append(int(r))
-            out["counts"].append(counts[some].astype(np.int32).tobytes())
-            out["lengths"].append(lengths[first[some]].astype(np.int32).tobytes())
-            out["bytes"].append(spans(data, starts[first[some]], lengths[first[some]]).tobytes())
-        number = batch.column("batch")[0].as_py()
-        return pa.table({"batch": pa.array([number] * len(out["range"]), pa.int64()), "range": pa.array(out["range"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in list(out)[1:]})
+            own = slice(cut[r], cut[r + 1])
+            out.append((name, WORDS, int(r), pack_words(words[own]), pack(counts[own])))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["chunk", "kind", "part", "names", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            at = 0
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            while at < len(batch):
+                gone = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, gone + CHUNK_BYTES - size, "right")))
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1] - gone)
+                at = to
+                if size >= CHUNK_BYTES or at < len(batch):
+                    yield chunk_rows(held)
+                    held, size = [], 0
+        if held:
+            yield chunk_rows(held)
 
     return run
 
 
-def _vocabulary(parts: pa.Table) -> pa.Table:
-    """A range's distinct words with summed counts (batch -1), and per batch its words' places among them."""
-    number = parts.column("range")[0].as_py()
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in parts.column(name).to_pylist()]
-    hashes = []
-    for own, size in zip(read("bytes", np.uint8), read("lengths", np.int32), strict=True):
-        ends = np.cumsum(size, dtype=np.int64)
-        hashes.append(span_hashes(rolling(own), ends - size, ends))
-    names, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate(read("counts", np.int32)), minlength=len(names)).astype(np.int64)
-    lengths = np.concatenate(read("lengths", np.int32)).astype(np.int64)
-    data = np.concatenate(read("bytes", np.uint8))
-    starts = np.cumsum(lengths) - lengths
-    rows = [(-1, b"", counts.tobytes(), lengths[first].astype(np.int32).tobytes(), spans(data, starts[first], lengths[first]).tobytes(), int(counts.sum()), int((counts > 0).sum()))]
-    at = 0
-    for batch, own in zip(parts.column("batch").to_pylist(), hashes, strict=True):
-        rows.append((batch, which[at : at + len(own)].astype(np.int32).tobytes(), b"", b"", b"", 0, 0))
-        at += len(own)
-    names_of = ("batch", "places", "counts", "lengths", "bytes", "total", "known")
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    cols = {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names_of, kinds, strict=True))}
-    return pa.table({"range": pa.array([number] * len(rows), pa.int64())} | cols)
-
-
-VOCABULARY = "range long, batch long, places binary, counts binary, lengths binary, bytes binary, total long, known long"
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(range, key, n): distinct windows of a range's words with their training counts."""
+# ---------------------------------------------------------------- the trie
+
+
+def low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number, counts, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lengths = np.frombuffer(lengths, np.int32).astype(np.int64)
-            keys = windows(np.frombuffer(data, np.uint8), lengths)
-            keys, which = np.unique(keys, return_inverse=True)
-            n = np.bincount(which, weights=np.repeat(np.frombuffer(counts, np.int64), lengths + 1), minlength=len(keys)).astype(np.int64)
-            for at in range(0, len(keys), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), number)), pa.array(keys[part]), pa.array(n[part])], ["range", "key", "n"])
+        for names, counts in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(names).astype(np.int64)), pa.array(unpack(counts, np.uint64).astype(np.int64))], ["code", "n"])
 
 
-def trie_scores(counted: DataFrame) -> DataFrame:
-    """(key, score): log10 probability of each window's last byte, from (key, n) of all distinct windows.
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1))
 
-    Windows with n = 0 are those of texts outside the training rows.
+
+def level(c, n, d, x, low) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of a node's byte after escaping from its context, and with it as the longest context.
+
+    ``c`` counts the byte in the context, ``n`` and ``d`` all and the distinct bytes,
+    ``x`` those of the next shorter context that this one has seen.  ``low``: c, n, d,
+    escape and start there.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
-    rows = counted.select("n", "key", level.alias("j"))
-    mask = F.expr("IF(j = 7, -1L, shiftleft(1L, 8 * (j + 1)) - 1L)")
-    nodes = stash(rows.select("j", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("j", "key").agg(F.sum("n").alias("c")), "nodes")
-    # the same byte one order lower: at most 256 longer contexts share it
-    lower = nodes.select((F.col("j") + 1).alias("j"), F.col("key").alias("suffix"), F.col("c").alias("c_low"))
-    cut = F.expr("shiftleft(1L, 8 * j) - 1L")
-    paired = nodes.withColumn("suffix", F.col("key").bitwiseAND(cut)).join(lower, ["j", "suffix"], "left").withColumn("context", F.shiftrightunsigned("key", 8))
-    # a context holds at most 256 rows, so its window is small
-    whole = W.partitionBy("j", "context")
-    full = paired.select(
-        "j",
-        "key",
-        "suffix",
-        "c",
-        F.sum("c").over(whole).alias("n"),
-        F.sum((F.col("c") > 0).cast("long")).over(whole).alias("d"),
-        F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("c_low"))).over(whole), F.lit(0)).alias("x"),
+    c_low, n_low, d_low, escape_low, start_low = low
+    left, fresh = 2 * (n_low - x), d_low - d
+    escape = np.where(c_low > 0, _log(2 * c_low - 1) - _log(left), np.where(fresh == 0, escape_low, _log(fresh) - _log(left) + escape_low))
+    start = np.where(c > 0, _log(2 * c - 1) - _log(2 * n), _log(d) - _log(2 * n) + escape)
+    return escape, np.where(n == 0, start_low, start)
+
+
+class Roots:
+    """Levels 0 to 2 of the trie, from all (code, count) of the two latest context bytes and the symbol."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.counts = codes[order].astype(np.uint64), counts[order].astype(np.float64)
+        context, symbol = (self.codes >> np.uint64(8)).astype(np.int64), (self.codes & SYMBOL).astype(np.int64)
+        one = np.bincount((context >> 8) * 256 + symbol, weights=self.counts, minlength=65536).reshape(256, 256)
+        zero = one.sum(0)
+        n, d = zero.sum(), float((zero > 0).sum())
+        escape = np.full(256, -_log(np.array(256 - d)))
+        start = np.where(zero > 0, _log(2 * zero - 1) - _log(2 * n), _log(np.array(d)) - _log(2 * n) + escape) if n else np.full(256, -np.log10(256.0))
+        n1, d1 = one.sum(1, keepdims=True), (one > 0).sum(1, keepdims=True).astype(float)
+        x1 = ((one > 0) * zero).sum(1, keepdims=True)
+        escape1, start1 = level(one, n1, d1, x1, (zero, n, d, escape, start))
+        self.one = [one, np.broadcast_to(n1, one.shape), np.broadcast_to(d1, one.shape), escape1, start1]
+        self.n = np.bincount(context, weights=self.counts, minlength=65536)
+        self.d = np.bincount(context, minlength=65536).astype(float)
+        self.x = np.bincount(context, weights=one[context >> 8, symbol], minlength=65536)
+
+    def second(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """c, n, d, escape and start of level 2 for windows."""
+        codes = (keys >> np.uint64(48) << np.uint64(8)) | (keys & SYMBOL)
+        c = np.zeros(len(codes))
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            c = np.where(self.codes[at] == codes, self.counts[at], 0.0)
+        context, last, symbol = (codes >> np.uint64(8)).astype(np.int64), (keys >> np.uint64(56)).astype(np.int64), (keys & SYMBOL).astype(np.int64)
+        n, d = self.n[context], self.d[context]
+        return c, n, d, *level(c, n, d, self.x[context], tuple(v[last, symbol] for v in self.one))
+
+
+def trie_scores(keys: np.ndarray, counts: np.ndarray, roots: Roots) -> np.ndarray:
+    """log10 probability of each window's last byte, from all distinct sorted windows of whole three-byte contexts."""
+    if not len(keys):
+        return np.zeros(0)
+    nodes, held, ups = [keys], [counts.astype(np.float64)], []
+    for order in range(ORDER - 1, 1, -1):
+        shorter, up = np.unique(nodes[-1] & context_mask(order), return_inverse=True)
+        held.append(np.bincount(up, weights=held[-1], minlength=len(shorter)))
+        nodes.append(shorter)
+        ups.append(up)
+    low = roots.second(nodes.pop())
+    held.pop()
+    while nodes:
+        c, own, up = held.pop(), nodes.pop(), ups.pop()
+        low = tuple(v[up] for v in low)
+        context = np.cumsum(np.concatenate(([True], (own[1:] ^ own[:-1]) > SYMBOL))) - 1  # sorted: a context's nodes lie together
+        total = lambda v: np.bincount(context, weights=v)[context]  # noqa: B023, E731
+        n, d = total(c), total((c > 0).astype(np.float64))
+        low = (c, n, d, *level(c, n, d, total(low[0] * (c > 0)), low))
+    return low[4]
+
+
+def merge(asks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their summed counts."""
+    keys, which = np.unique(np.concatenate([k for k, _ in asks]), return_inverse=True)
+    return keys, np.bincount(which, weights=np.concatenate([n for _, n in asks]), minlength=len(keys)).astype(np.int64)
+
+
+def _answer_windows(roots: Roots) -> Callable[[pa.Table], pa.Table]:
+    def run(asked: pa.Table) -> pa.Table:
+        chunk, names = asked.column("chunk").to_pylist(), asked.column("names")
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        for name, count in zip(names, asked.column("counts"), strict=True):
+            pending.append((unpack_sorted(name.as_py()), unpack(count.as_py(), np.uint32)))
+            if sum(len(k) for k, _ in pending) > MERGE_KEYS:
+                pending = [merge(pending)]
+        keys, counts = merge(pending)
+        scores = trie_scores(keys, counts, roots).astype(np.float32)
+        found = [pack(scores[np.searchsorted(keys, unpack_sorted(name.as_py()))]) for name in names]
+        return _answers(chunk, WINDOWS, asked.column("part")[0].as_py(), found, 0, 0)
+
+    return run
+
+
+def _answer_words(asked: pa.Table) -> pa.Table:
+    chunk, words = asked.column("chunk").to_pylist(), [unpack_words(x.as_py()) for x in asked.column("names")]
+    counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in asked.column("counts")])
+    coded = pa.concat_arrays(words).dictionary_encode()
+    which = coded.indices.to_numpy()
+    total = np.bincount(which, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+    cut = np.cumsum([len(w) for w in words])[:-1]
+    found = [pack(total[own]) for own in np.split(which, cut)]
+    return _answers(chunk, WORDS, asked.column("part")[0].as_py(), found, int(total.sum()), int((total > 0).sum()))
+
+
+def _answers(chunk: list[str], kind: int, part: int, found: list[bytes], total: int, known: int) -> pa.Table:
+    """A row per chunk; the range's sums stand in the first."""
+    rows = len(chunk)
+    first = lambda v: pa.array([v] + [0] * (rows - 1), pa.int64())
+    return pa.table(
+        {
+            "chunk": pa.array(chunk, pa.string()),
+            "kind": pa.array([kind] * rows, pa.int32()),
+            "part": pa.array([part] * rows, pa.int32()),
+            "found": pa.array(found, pa.binary()),
+            "total": first(total),
+            "known": first(known),
+        }
     )
-    full = stash(full, "trie")
-    # escape: log probability after escaping from this context; start: with this context as the longest
-    plain = lambda x: F.log10(x.cast("double"))
-    escape = -plain(F.greatest(256 - F.col("d"), F.lit(1)))
-    known = F.when(F.col("c") > 0, plain(2 * F.col("c") - 1) - plain(2 * F.col("n"))).otherwise(plain(F.col("d")) - plain(2 * F.col("n")) + F.col("escape"))
-    at = full.where("j = 0").withColumn("escape", escape)
-    at = at.select("key", "c", "n", "d", "escape", F.when(F.col("n") == 0, F.lit(-np.log10(256.0))).otherwise(known).alias("start"))
-    for j in range(1, ORDER + 1):
-        below = at.select(F.col("key").alias("suffix"), *[F.col(k).alias(f"{k}_low") for k in ("c", "n", "d", "escape", "start")])
-        joined = full.where(F.col("j") == j).join(below, "suffix")
-        left, fresh = F.col("n_low") - F.col("x"), F.col("d_low") - F.col("d")
-        escape = (
-            F.when(F.col("c_low") > 0, plain(2 * F.col("c_low") - 1) - plain(F.greatest(2 * left, F.lit(1))))
-            .when(fresh == 0, F.col("escape_low"))
-            .otherwise(plain(F.greatest(fresh, F.lit(1))) - plain(F.greatest(2 * left, F.lit(1))) + F.col("escape_low"))
-        )
-        at = joined.withColumn("escape", escape).select("key", "c", "n", "d", "escape", F.when(F.col("n") == 0, F.col("start_low")).otherwise(known).alias("start"))
-    return at.select("key", F.col("start").alias("score"))
-
-
-def _answers(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Per batch of a range: its words' training counts and scores, in the order asked."""
-    if left.num_rows == 0:
-        return pa.table({"batch": pa.array([], pa.int64()), "range": pa.array([], pa.int64()), "counts": pa.array([], pa.binary()), "scores": pa.array([], pa.binary())})
-    order = np.argsort(right.column("key").to_numpy())
-    keys, scores = right.column("key").to_numpy()[order], right.column("score").to_numpy()[order]
-    rows = left.to_pylist()
-    head = next(r for r in rows if r["batch"] == -1)
-    counts = np.frombuffer(head["counts"], np.int64)
-    lengths = np.frombuffer(head["lengths"], np.int32).astype(np.int64)
-    found = scores[np.searchsorted(keys, windows(np.frombuffer(head["bytes"], np.uint8), lengths))]
-    totals = np.add.reduceat(found, np.cumsum(lengths + 1) - (lengths + 1))
-    out = [(r["batch"], r["range"], counts[p].tobytes(), totals[p].tobytes()) for r in rows if r["batch"] >= 0 for p in (np.frombuffer(r["places"], np.int32),)]
-    names = ("batch", "range", "counts", "scores")
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
-
-def _totals(ranges: int, n: int, v: int, ends: int, end_score: float):
-    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, _, hashes, owners = batch_words(batch.column("text"))
-        names, which = np.unique(hashes, return_inverse=True)
-        place = range_of(names, ranges)
-        counts, scores = np.zeros(len(names), np.int64), np.zeros(len(names))
-        for r, c, s in zip(*(answers.column(k).to_pylist() for k in ("range", "counts", "scores")), strict=True):
-            own = place == r
-            counts[own], scores[own] = np.frombuffer(c, np.int64), np.frombuffer(s, np.float64)
-        rows = batch.num_rows
+
+
+def _totals(ranges: int, n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(text: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(text.column("names")[0].as_py()).read_all()
+        reading = read_texts(rows.column("text"))
+        found = {(k, p): f for k, p, f in zip(*(answers.column(x).to_pylist() for x in ("kind", "part", "found")), strict=True)}
+        _, cut, places = distinct_words(reading, ranges)
+        counts = np.concatenate([unpack(found[WORDS, int(r)], np.int64) for r in np.flatnonzero(np.diff(cut))])[places]
+        per_text = lambda x: np.add.reduceat(x, reading.first[:-1])
         base = np.log10(counts + 1) - np.log10(n + v + 1)
-        total = lambda x: np.bincount(owners, weights=x[which], minlength=rows)
+        _, cut, places = distinct_windows(reading, ranges)
+        scores = np.concatenate([unpack(found[WINDOWS, int(r)], np.float32) for r in np.flatnonzero(np.diff(cut))])
         return pa.table(
             {
-                "doc_id": batch.column("doc_id"),
-                "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(np.bincount(owners, minlength=rows) + 1),
-                "n_known": pa.array(total((counts > 0).astype(float)).astype(np.int64) + (ends > 0)),
-                "train_tokens": pa.array(np.full(rows, n)),
-                "base_score": pa.array(total(base) + np.log10(ends + 1) - np.log10(n + v + 1)),
-                "score": pa.array(total(scores) + end_score),
+                "doc_id": rows.column("doc_id"),
+                "held_out": rows.column("held_out"),
+                "n_tokens": pa.array(np.diff(reading.first)),
+                "n_known": pa.array(per_text((counts > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(rows.num_rows, n)),
+                "base_score": pa.array(per_text(base)),
+                "score": pa.array(np.add.reduceat(scores[places].astype(np.float64), reading.texts[:-1])),
             }
         )
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Callable[[Column], Column]) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``held_out`` maps the doc_id column to a boolean column; null counts as false.  A
     null or empty text is its end mark alone.  Without training rows every byte is
-    equally likely.  Equal rows score alike; extra columns are not used.
+    equally likely.  Equal rows score alike, an empty table gives no rows, and extra
+    columns, clashing names included, are not used.  A byte's score is rounded to 32 bits.
     """
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
-    size, n_docs, ends = rows.agg(F.sum(F.octet_length("text")), F.count("*"), F.sum((~F.col("held_out")).cast("long"))).first()
-    size, ends = size or 0, ends or 0
-    batches, ranges = max(1, ceil(size / BATCH_BYTES)), max(1, ceil(size / RANGE_BYTES))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).withColumn("trained", ~F.col("held_out"))
-    asked = rows.select("batch", "text", "trained").groupBy("batch").applyInArrow(_asked(ranges), "batch long, range long, counts binary, lengths binary, bytes binary")
-    words = stash(asked.groupBy("range").applyInArrow(_vocabulary, VOCABULARY), "words")
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    ranges = max(1, ceil(size / RANGE_BYTES))
+    asks = stash(rows.mapInArrow(_asks(ranges), ASKS), "asks")
+    low = asks.where(F.col("kind") == LOW).select("names", "counts").mapInArrow(low_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    roots = Roots(low.column("code").to_numpy(), low.column("n").to_numpy())
+    of = lambda k: asks.where(F.col("kind") == k)
+    words = stash(of(WORDS).groupBy("part").applyInArrow(_answer_words, ANSWERS), "words")
     total, known = words.agg(F.sum("total"), F.sum("known")).first()
-    n, v = (total or 0) + ends, (known or 0) + (ends > 0)
-    windows_of = words.where("batch = -1").select("range", "counts", "lengths", "bytes").mapInArrow(_windows, "range long, key long, n long")
-    end_mark = spark.range(1).select(F.lit(END).cast("long").alias("key"), F.lit(ends).cast("long").alias("n"))
-    scored = stash(trie_scores(windows_of.select("key", "n").unionAll(end_mark).groupBy("key").agg(F.sum("n").alias("n"))), "scores")
-    end_score = scored.where(F.col("key") == END).first()["score"]
-    needed = windows_of.select("range", "key").join(scored, "key")
-    answers = words.groupBy("range").cogroup(needed.groupBy("range")).applyInArrow(_answers, "batch long, range long, counts binary, scores binary")
+    answers = of(WINDOWS).groupBy("part").applyInArrow(_answer_windows(roots), ANSWERS).unionByName(words)
     return (
-        rows.select("batch", "doc_id", "held_out", "text")
-        .groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
+        of(TEXT)
+        .select("chunk", "names")
+        .groupBy("chunk")
+        .cogroup(answers.select("chunk", "kind", "part", "found").groupBy("chunk"))
         .applyInArrow(
-            _totals(ranges, n, v, ends, end_score),
+            _totals(ranges, total or 0, known or 0),
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )
