@@ -269,7 +269,7 @@ def test_ppm_equals_definition(documents, monkeypatch):
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t) + 1, sum(seen[w] > 0 for w in [*t, None]), n)
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in [*t, None]))
-        assert r.score == pytest.approx(want[i], rel=1e-6)
+        assert r.score == pytest.approx(want[i], rel=1e-9)
 
 
 def test_ppm_reads_the_word_before(documents):
@@ -294,7 +294,7 @@ def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     untrained = L.score_documents(odd, lambda i: F.lit(True)).collect()
-    assert {round(r.score, 6) for r in untrained if r.doc_id == 2} == {round(-math.log10(256), 6)}
+    assert {round(r.score, 9) for r in untrained if r.doc_id == 2} == {round(-math.log10(256), 9)}
     assert L.score_documents(empty, lambda i: i > 7).count() == 0
 
 
@@ -425,6 +425,38 @@ def test_bad_host_costs_only_failing_documents(documents):
     assert all(got[i] == (True, False) for i in range(40)) and got[200] == (True, True) and not any(got[100 + i][0] for i in range(20))
 
 
+def prior_rates(hosts):
+    """Shrunk failure rate per host from (documents, failures), by the moments of the hosts' rates."""
+    n, mean = sum(d for d, _ in hosts.values()), sum(f for _, f in hosts.values()) / sum(d for d, _ in hosts.values())
+    noise, even = mean * (1 - mean), 1 - sum(d * d for d, _ in hosts.values()) / n**2
+    spread = sum(f * f / d for d, f in hosts.values()) / n - mean**2
+    between = (spread - noise * (len(hosts) - 1) / n) / even if even else 0
+    strength = max(noise / between - 1, 0) if between > 0 else n
+    return {h: (f + mean * strength) / (d + strength) for h, (d, f) in hosts.items()}
+
+
+def test_host_alone_flips_a_verdict(documents):
+    """Equal documents with one soft failure: excused on the good host, rejected on the bad one and with a null host of failing documents."""
+    rng = random.Random(6)
+    clean = [" ".join(rng.choice("abcdefghijklm") * rng.randint(2, 9) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(60)]
+    shout = clean[0].upper() + " # # # #"
+    rows = [(i, t, "en", "good") for i, t in enumerate(clean)] + [(100 + i, t, "en", "bad") for i, t in enumerate(clean[:20])] + [(150 + i, "short", "en", "bad") for i in range(15)]
+    rows += [(170 + i, "short", "en", None) for i in range(9)] + [(k, shout, "en", h) for k, h in ((200, "good"), (201, "bad"), (202, None), (203, ""))]
+    got = {r.doc_id: r for r in Q.judge(documents(rows)).collect()}
+    hosts = {"good": (61, 1), "bad": (36, 16), None: (10, 10), "": (1, 1)}
+    assert {k: got[k].soft_failures for k in (200, 201, 202, 203)} == dict.fromkeys((200, 201, 202, 203), 1)
+    assert [got[k].kept for k in (200, 201, 202)] == [True, False, False] and not got[200].host_bad and got[201].host_bad
+    want = prior_rates(hosts)
+    for r in got.values():
+        assert r.host_rate == pytest.approx(want[r.host]) and (r.host_docs, r.host_failures) == hosts[r.host]
+    assert {r.kept for r in Q.judge(documents(rows), own_rules=1).where("doc_id = 200").collect()} == {False}
+
+
+def test_ties_of_hosts_take_the_common_rate(documents):
+    rows = [(i, "short", "en", f"h{i % 4}") for i in range(8)]
+    assert {r.host_rate for r in Q.judge(documents(rows)).collect()} == {1.0}
+
+
 def test_rules_of_odd_rows(odd, empty):
     rows = Q.judge(odd).collect()
     assert len(rows) == 12 and not any(r.kept for r in rows if r.doc_id in (1, 2, 3, 5))

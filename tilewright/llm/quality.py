@@ -6,12 +6,11 @@ failure rate, and the host's verdict joins back to its documents.
 
 Verdict of a document: rejected if the base rules fail, if ``own_rules`` of its soft
 rules fail, or if its host is bad (shrunk failure rate over ``bad_rate``) and one of
-its soft rules fails.  A clean document is kept whatever its host.  With the default
-``own_rules`` of 1 the last case is part of the second: the host's verdict is reported
-but changes no row of ``kept``; from 2 on it decides.
+its soft rules fails.  A clean document is kept whatever its host; a document with a
+single soft failure is excused on a good host and rejected on a bad one.
 
-Scale: one pass, a map-side combined sum per host, and a join of the host table.  The
-measures are recomputed rather than stored between the two uses of the input.
+Scale: one pass over the texts, whose narrow measures are written; then a map-side
+combined sum per host and a join of the host table.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import settle, table
+from tilewright.llm.common import stash, table
 from tilewright.llm.kernel import chunks, gram_hashes, grams_of, word_hashes
 
 #: Symbols that the symbol rule counts.
@@ -32,6 +31,9 @@ SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(SYMBOLS)] = True
 
+#: A host is bad from one failing document in ten.
+BAD_RATE = 0.1
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
 
@@ -104,7 +106,7 @@ def with_rules(measured: DataFrame) -> DataFrame:
     return measured.withColumn("base_failed", base).withColumn("soft_failures", soft)
 
 
-def host_verdicts(rows: DataFrame, host: str, bad_rate: float = 0.5) -> DataFrame:
+def host_verdicts(rows: DataFrame, host: str, bad_rate: float = BAD_RATE) -> DataFrame:
     """Per host: documents, failures, shrunk rate, verdict.
 
     The beta prior's mean and strength come from the hosts' mean rate and its variance
@@ -134,15 +136,17 @@ def host_verdicts(rows: DataFrame, host: str, bad_rate: float = 0.5) -> DataFram
     )
 
 
-def judge(docs: DataFrame, host: str = "source", bad_rate: float = 0.5, own_rules: int = 1) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", bad_rate: float = BAD_RATE, own_rules: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, host, measures, base_failed, host columns, kept.
 
-    Null hosts are one host; null or empty texts fail the base rules.  Repeated rows
-    are judged alike.  Other input columns, clashing names included, are not used.
+    Null hosts are one host, apart from empty names; null or empty texts fail the base
+    rules.  Repeated rows are judged alike, an empty table gives no rows.  Hosts of one
+    rate, or a single host, have no variance between them and take the common rate.
+    Other input columns, clashing names included, are not used.
     """
     base = docs.select(F.struct("doc_id", F.col(host).cast("string").alias("host")).alias("_key"), "text")
-    rows = with_rules(measure(base, "_key")).select("_row.*", *MEASURES, "base_failed", "soft_failures")
-    hosts = settle(host_verdicts(rows, "host", bad_rate))
+    rows = with_rules(stash(measure(base, "_key").select("_row.*", *MEASURES), "measures"))
+    hosts = stash(host_verdicts(rows, "host", bad_rate), "hosts")
     known = hosts.select(F.col("host").alias("_host"), "host_docs", "host_failures", "host_rate", "host_bad")
     joined = rows.join(known, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     rejected = F.col("base_failed") | (F.col("soft_failures") >= own_rules) | (F.col("host_bad") & (F.col("soft_failures") > 0))
@@ -162,7 +166,7 @@ _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x
 #: The contract's columns and this module's verdict, in DuckDB.
 OP10_SQL = f"""
 WITH split AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {_WORDS} AS w,
+  SELECT doc_id, source AS host, coalesce(text, '') AS t, {_WORDS} AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents),
 grams AS (
@@ -194,7 +198,7 @@ prior AS (
 verdicts AS (
   SELECT host, (f + m * k) / (d + k) AS host_rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR soft_failures >= 1 OR (host_rate > 0.5 AND soft_failures > 0)) AS kept,
-       soft_failures, host, round(host_rate, 6) AS host_rate, host_rate > 0.5 AS host_bad
-FROM ruled JOIN verdicts USING (host)
+       NOT (base_failed OR soft_failures >= 2 OR (host_rate > {BAD_RATE} AND soft_failures > 0)) AS kept,
+       soft_failures, r.host, round(host_rate, 6) AS host_rate, host_rate > {BAD_RATE} AS host_bad
+FROM ruled r JOIN verdicts v ON v.host IS NOT DISTINCT FROM r.host
 """
