@@ -12,25 +12,31 @@ lengths are pretrained: all training text is counted first, then every text is s
 Scale.  A byte's probability depends on its window of ORDER + 1 bytes alone.  Texts are
 cut into chunks of ``CHUNK_BYTES``; a chunk asks for its distinct windows, sorted and
 compressed to about a byte each, in ranges dealt by the three latest context bytes.  A
-range thus holds whole subtrees of the trie: one task merges the asks of its range as
-they stream in, fits the trie's levels 3 to ORDER over the distinct windows and answers
-every chunk in the order asked.  Levels 0 to 2 are summed over all chunks first; at most
-2 ** 24 counts, they go to the workers.  No document id is ever a grouping key, so
-repeated or null ids deal evenly.  A task holds its range's compressed asks and distinct
-windows; the ask table is written once, so a lost executor costs only its own tasks.
+range thus holds whole subtrees of the trie: one task merges the asks of its range as it
+decodes them, fits the trie's levels 3 to ORDER over the distinct windows and answers
+every chunk in the order asked.  Levels 0 to 2 are summed over all texts first; at most
+2 ** 24 counts, they go to the workers.  Words are counted the same way, by their bytes.
+No document id is ever a grouping key, so repeated or null ids deal evenly.  A task holds
+one chunk, or its range's compressed asks and distinct windows.
+
+Nothing but the narrow result is written.  Texts are read anew to meet their answers, so
+a chunk's name holds its partition, its place there and a checksum of its texts: an input
+that comes in another order after a lost executor cannot meet answers of other texts, it
+fails.  Give such an input as a written table.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +45,13 @@ from tilewright.llm.kernel import chunks, rolling, span_hashes
 
 ORDER = 7  # with the predicted byte, the eight bytes of a 64-bit window; at least 3, at most 7
 SPACE, END = 0x20, 0x0A
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
 MERGE_KEYS = 4_000_000
 
 SYMBOL = np.uint64(0xFF)
-TEXT, LOW, WINDOWS, WORDS = range(4)  # kinds of rows of the ask table
+WINDOWS, WORDS = range(2)  # kinds of asks
+TEXTS = "chunk string, texts binary"
 ASKS = "chunk string, kind int, part int, names binary, counts binary"
 ANSWERS = "chunk string, kind int, part int, found binary, total long, known long"
 
@@ -69,6 +76,21 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def pack_values(values: np.ndarray) -> bytes:
+    """Values by their rank among the distinct ones, most frequent first: scores repeat often."""
+    distinct, which, often = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    book = pack(distinct[order])
+    return len(book).to_bytes(8, "little") + book + pack(rank[which])
+
+
+def unpack_values(data: bytes, kind: type) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return unpack(data[8:cut], kind)[unpack(data[cut:], np.uint32)]
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
@@ -144,16 +166,17 @@ def windows(reading: Reading) -> np.ndarray:
     return out
 
 
-def distinct_windows(reading: Reading, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows in order of (range, window), the ranges' bounds, and every byte's place among them."""
-    coded = pa.array(windows(reading)).dictionary_encode()
-    keys, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-    order = np.argsort(keys)
-    place = ((keys[order] >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(ranges)
-    order = order[np.argsort(place, kind="stable")]
-    back = np.empty(len(order), np.int32)
-    back[order] = np.arange(len(order), dtype=np.int32)
-    return keys[order], np.searchsorted(np.sort(place), np.arange(ranges + 1)), back[places]
+def distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[at], np.diff(at, append=len(ordered))
+
+
+def dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted windows by (range, window), and the ranges' bounds."""
+    place = ((keys >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(ranges)
+    order = np.argsort(place, kind="stable")
+    return order, np.searchsorted(place[order], np.arange(ranges + 1))
 
 
 def distinct_words(reading: Reading, ranges: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -170,54 +193,95 @@ def distinct_words(reading: Reading, ranges: int) -> tuple[pa.Array, np.ndarray,
     return names.take(pa.array(order)), np.searchsorted(place[order], np.arange(ranges + 1)), back[places]
 
 
-def _write(rows: pa.Table) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(rows)
-    return out.getvalue().to_pybytes()
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """The chunks of a partition with their names; a longer text is a chunk of its own."""
+    held: list[pa.RecordBatch] = []
+    size = number = 0
+
+    def name() -> str:
+        seen = 0
+        for batch in held:
+            for text in batch.column("text"):
+                seen = crc32(text.as_buffer(), seen)
+        return f"{TaskContext.get().partitionId()}-{number}-{seen:08x}"
+
+    for batch in batches:
+        at = 0
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        while at < len(batch):
+            gone = ends[at - 1] if at else 0
+            to = max(at + (not held), int(np.searchsorted(ends, gone + CHUNK_BYTES - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int((ends[to - 1] if to else 0) - gone)
+            at = to
+            if size >= CHUNK_BYTES or at < len(batch):
+                yield name(), pa.Table.from_batches(held).combine_chunks()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield name(), pa.Table.from_batches(held).combine_chunks()
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of TEXTS: every chunk as one compressed table."""
+    for name, rows in _cut(batches):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+            writer.write_table(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+
+
+def _trained(rows: pa.Table) -> np.ndarray:
+    return ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def low_codes(keys: np.ndarray) -> np.ndarray:
+    """The two latest context bytes and the symbol of windows."""
+    return (keys >> np.uint64(48) << np.uint64(8)) | (keys & SYMBOL)
+
+
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n): a partition's training counts of levels 0 to 2."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for _, rows in _cut(batches):
+        reading = read_texts(rows.column("text"))
+        keys = low_codes(windows(reading))[np.repeat(_trained(rows), np.diff(reading.texts))]
+        keys.sort()
+        found = [merge([*found, distinct(keys)])]
+    yield pa.RecordBatch.from_arrays([pa.array(found[0][0].astype(np.int64)), pa.array(found[0][1])], ["code", "n"])
 
 
 def _asks(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of ASKS: per chunk its texts, low counts, and per range its distinct windows and words with training counts."""
-
-    def chunk_rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        reading, name = read_texts(rows.column("text")), uuid.uuid4().hex
-        trained = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        out: list[tuple] = [(name, TEXT, 0, _write(rows), b"")]
-        keys, cut, places = distinct_windows(reading, ranges)
-        counts = np.bincount(places[np.repeat(trained, np.diff(reading.texts))], minlength=len(keys)).astype(np.uint32)
-        codes, which = np.unique((keys >> np.uint64(48) << np.uint64(8)) | (keys & SYMBOL), return_inverse=True)
-        low = np.bincount(which, weights=counts, minlength=len(codes)).astype(np.uint64)
-        out.append((name, LOW, 0, pack_sorted(codes[low > 0]), pack(low[low > 0])))
+    """Rows of ASKS: per chunk and range its distinct windows and words with their training counts."""
+
+    def asked_windows(reading: Reading, trained: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        keys, mask = windows(reading), np.repeat(trained, np.diff(reading.texts))
+        own, other = keys[mask], keys[~mask]
+        del keys, mask
+        own.sort()
+        other.sort()
+        (own, often), (other, _) = distinct(own), distinct(other)
+        every = np.union1d(own, other)
+        counts = np.zeros(len(every), np.uint32)
+        counts[np.searchsorted(every, own)] = often
+        order, cut = dealt(every, ranges)
         for r in np.flatnonzero(np.diff(cut)):
-            own = slice(cut[r], cut[r + 1])
-            out.append((name, WINDOWS, int(r), pack_sorted(keys[own]), pack(counts[own])))
+            at = order[cut[r] : cut[r + 1]]
+            yield WINDOWS, int(r), pack_sorted(every[at]), pack(counts[at])
+
+    def asked_words(reading: Reading, trained: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
         words, cut, places = distinct_words(reading, ranges)
         counts = np.bincount(places[np.repeat(trained, np.diff(reading.first))], minlength=len(words)).astype(np.uint32)
         for r in np.flatnonzero(np.diff(cut)):
             own = slice(cut[r], cut[r + 1])
-            out.append((name, WORDS, int(r), pack_words(words[own]), pack(counts[own])))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["chunk", "kind", "part", "names", "counts"])
+            yield WORDS, int(r), pack_words(words[own]), pack(counts[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            at = 0
-            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-            while at < len(batch):
-                gone = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, gone + CHUNK_BYTES - size, "right")))
-                held.append(batch.slice(at, to - at))
-                size += int(ends[to - 1] - gone)
-                at = to
-                if size >= CHUNK_BYTES or at < len(batch):
-                    yield chunk_rows(held)
-                    held, size = [], 0
-        if held:
-            yield chunk_rows(held)
+        for name, rows in _cut(batches):
+            reading, trained = read_texts(rows.column("text")), _trained(rows)
+            for asked in (asked_windows, asked_words):
+                out = [(name, *row) for row in asked(reading, trained)]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["chunk", "kind", "part", "names", "counts"])
 
     return run
 
@@ -225,12 +289,6 @@ def _asks(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 # ---------------------------------------------------------------- the trie
 
 
-def low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for names, counts in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(names).astype(np.int64)), pa.array(unpack(counts, np.uint64).astype(np.int64))], ["code", "n"])
-
-
 def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1))
 
@@ -271,7 +329,7 @@ class Roots:
 
     def second(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
         """c, n, d, escape and start of level 2 for windows."""
-        codes = (keys >> np.uint64(48) << np.uint64(8)) | (keys & SYMBOL)
+        codes = low_codes(keys)
         c = np.zeros(len(codes))
         if len(self.codes):
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
@@ -309,33 +367,32 @@ def merge(asks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(which, weights=np.concatenate([n for _, n in asks]), minlength=len(keys)).astype(np.int64)
 
 
-def _answer_windows(roots: Roots) -> Callable[[pa.Table], pa.Table]:
+def _answer(roots: Roots) -> Callable[[pa.Table], pa.Table]:
+    """The answers to all asks of one kind and range."""
+
     def run(asked: pa.Table) -> pa.Table:
-        chunk, names = asked.column("chunk").to_pylist(), asked.column("names")
+        kind, part, chunk = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py(), asked.column("chunk").to_pylist()
+        if kind == WORDS:
+            words = [unpack_words(x.as_py()) for x in asked.column("names")]
+            counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in asked.column("counts")])
+            coded = pa.concat_arrays(words).dictionary_encode()
+            which = coded.indices.to_numpy()
+            total = np.bincount(which, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+            found = [pack_values(total[own]) for own in np.split(which, np.cumsum([len(w) for w in words])[:-1])]
+            return _answers(chunk, kind, part, found, int(total.sum()), int((total > 0).sum()))
         pending: list[tuple[np.ndarray, np.ndarray]] = []
-        for name, count in zip(names, asked.column("counts"), strict=True):
+        for name, count in zip(asked.column("names"), asked.column("counts"), strict=True):
             pending.append((unpack_sorted(name.as_py()), unpack(count.as_py(), np.uint32)))
             if sum(len(k) for k, _ in pending) > MERGE_KEYS:
                 pending = [merge(pending)]
         keys, counts = merge(pending)
-        scores = trie_scores(keys, counts, roots).astype(np.float32)
-        found = [pack(scores[np.searchsorted(keys, unpack_sorted(name.as_py()))]) for name in names]
-        return _answers(chunk, WINDOWS, asked.column("part")[0].as_py(), found, 0, 0)
+        scores = trie_scores(keys, counts, roots)
+        found = [pack_values(scores[np.searchsorted(keys, unpack_sorted(name.as_py()))]) for name in asked.column("names")]
+        return _answers(chunk, kind, part, found, 0, 0)
 
     return run
 
 
-def _answer_words(asked: pa.Table) -> pa.Table:
-    chunk, words = asked.column("chunk").to_pylist(), [unpack_words(x.as_py()) for x in asked.column("names")]
-    counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in asked.column("counts")])
-    coded = pa.concat_arrays(words).dictionary_encode()
-    which = coded.indices.to_numpy()
-    total = np.bincount(which, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
-    cut = np.cumsum([len(w) for w in words])[:-1]
-    found = [pack(total[own]) for own in np.split(which, cut)]
-    return _answers(chunk, WORDS, asked.column("part")[0].as_py(), found, int(total.sum()), int((total > 0).sum()))
-
-
 def _answers(chunk: list[str], kind: int, part: int, found: list[bytes], total: int, known: int) -> pa.Table:
     """A row per chunk; the range's sums stand in the first."""
     rows = len(chunk)
@@ -352,26 +409,41 @@ def _answers(chunk: list[str], kind: int, part: int, found: list[bytes], total:
     )
 
 
-def _totals(ranges: int, n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _totals(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Per text of a chunk its sums; a last row without texts carries the sums of the chunk's ranges."""
+
     def run(text: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = pa.ipc.open_stream(text.column("names")[0].as_py()).read_all()
+        rows = pa.ipc.open_stream(text.column("texts")[0].as_py()).read_all()
         reading = read_texts(rows.column("text"))
         found = {(k, p): f for k, p, f in zip(*(answers.column(x).to_pylist() for x in ("kind", "part", "found")), strict=True)}
-        _, cut, places = distinct_words(reading, ranges)
-        counts = np.concatenate([unpack(found[WORDS, int(r)], np.int64) for r in np.flatnonzero(np.diff(cut))])[places]
+        words, cut, places = distinct_words(reading, ranges)
+        counts = np.concatenate([unpack_values(found[WORDS, int(r)], np.int64) for r in np.flatnonzero(np.diff(cut))])[places]
         per_text = lambda x: np.add.reduceat(x, reading.first[:-1])
-        base = np.log10(counts + 1) - np.log10(n + v + 1)
-        _, cut, places = distinct_windows(reading, ranges)
-        scores = np.concatenate([unpack(found[WINDOWS, int(r)], np.float32) for r in np.flatnonzero(np.diff(cut))])
+        known, plain = per_text((counts > 0).astype(np.int64)), per_text(np.log10(counts + 1))
+        del words, counts, places
+        keys = windows(reading)
+        order = np.argsort(keys)
+        every, often = distinct(keys[order])
+        del keys
+        at, cut = dealt(every, ranges)
+        scores = np.empty(len(every))
+        scores[at] = np.concatenate([unpack_values(found[WINDOWS, int(r)], np.float64) for r in np.flatnonzero(np.diff(cut))])
+        per_byte = np.empty(len(order))
+        per_byte[order] = np.repeat(scores, often)
+        score = np.add.reduceat(per_byte, reading.texts[:-1])
+        n = rows.num_rows
+        end = lambda x, last: pa.array([*x.tolist(), last])
+        total, known_words = (pc.sum(answers.column(x)).as_py() or 0 for x in ("total", "known"))
         return pa.table(
             {
-                "doc_id": rows.column("doc_id"),
-                "held_out": rows.column("held_out"),
-                "n_tokens": pa.array(np.diff(reading.first)),
-                "n_known": pa.array(per_text((counts > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(rows.num_rows, n)),
-                "base_score": pa.array(per_text(base)),
-                "score": pa.array(np.add.reduceat(scores[places].astype(np.float64), reading.texts[:-1])),
+                "doc_id": pa.concat_arrays([*rows.column("doc_id").chunks, pa.nulls(1, rows.column("doc_id").type)]),
+                "held_out": pa.concat_arrays([*rows.column("held_out").chunks, pa.nulls(1, pa.bool_())]),
+                "n_tokens": end(np.diff(reading.first), None),
+                "n_known": end(known, None),
+                "plain": end(plain, None),
+                "score": end(score, None),
+                "total": pa.array([None] * n + [total], pa.int64()),
+                "known": pa.array([None] * n + [known_words], pa.int64()),
             }
         )
 
@@ -384,29 +456,22 @@ def score_documents(docs: DataFrame, held_out: Callable[[Column], Column]) -> Da
     ``held_out`` maps the doc_id column to a boolean column; null counts as false.  A
     null or empty text is its end mark alone.  Without training rows every byte is
     equally likely.  Equal rows score alike, an empty table gives no rows, and extra
-    columns, clashing names included, are not used.  A byte's score is rounded to 32 bits.
+    columns, clashing names included, are not used.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     ranges = max(1, ceil(size / RANGE_BYTES))
-    asks = stash(rows.mapInArrow(_asks(ranges), ASKS), "asks")
-    low = asks.where(F.col("kind") == LOW).select("names", "counts").mapInArrow(low_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    low = rows.mapInArrow(_low, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     roots = Roots(low.column("code").to_numpy(), low.column("n").to_numpy())
-    of = lambda k: asks.where(F.col("kind") == k)
-    words = stash(of(WORDS).groupBy("part").applyInArrow(_answer_words, ANSWERS), "words")
-    total, known = words.agg(F.sum("total"), F.sum("known")).first()
-    answers = of(WINDOWS).groupBy("part").applyInArrow(_answer_windows(roots), ANSWERS).unionByName(words)
-    return (
-        of(TEXT)
-        .select("chunk", "names")
-        .groupBy("chunk")
-        .cogroup(answers.select("chunk", "kind", "part", "found").groupBy("chunk"))
-        .applyInArrow(
-            _totals(ranges, total or 0, known or 0),
-            f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-        )
-    )
+    answers = rows.mapInArrow(_asks(ranges), ASKS).groupBy("kind", "part").applyInArrow(_answer(roots), ANSWERS)
+    sums = "n_tokens long, n_known long, plain double, score double, total long, known long"
+    met = rows.mapInArrow(_texts, TEXTS).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_totals(ranges), f"doc_id {kind}, held_out boolean, {sums}")
+    scored = stash(met, "scores")
+    total, known = scored.agg(F.sum("total"), F.sum("known")).first()
+    n, v = total or 0, known or 0
+    base = F.col("plain") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
+    return scored.where("total IS NULL").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
