@@ -269,7 +269,7 @@ def test_ppm_equals_definition(documents, monkeypatch):
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t) + 1, sum(seen[w] > 0 for w in [*t, None]), n)
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in [*t, None]))
-        assert r.score == pytest.approx(want[i], rel=1e-9)
+        assert r.score == pytest.approx(want[i], rel=1e-6)
 
 
 def test_ppm_reads_the_word_before(documents):
@@ -294,22 +294,104 @@ def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     untrained = L.score_documents(odd, lambda i: F.lit(True)).collect()
-    assert {round(r.score, 9) for r in untrained if r.doc_id == 2} == {round(-math.log10(256), 9)}
+    assert {round(r.score, 6) for r in untrained if r.doc_id == 2} == {round(-math.log10(256), 6)}
     assert L.score_documents(empty, lambda i: i > 7).count() == 0
 
 
 # ------------------------------------------------------------- op6
 
 
-def test_grammar_classes():
-    run = lambda *s: dict(zip(X.HITS, X.run_grammar(s, [1.0] * len(s)), strict=True))
-    assert run(X.INSULT)[X.INSULT] == 1
-    assert run(X.TARGET, X.INSULT)[X.ATTACK] == 1
-    assert run(X.NEGATION, X.INSULT)[X.CANCELLED] == 1
-    assert run(X.NEGATION, X.NONE, X.INSULT)[X.INSULT] == 1
-    assert run(X.REPORT, X.TARGET, X.INSULT)[X.QUOTED] == 1
-    assert run(X.REPORT, X.END, X.TARGET, X.THREAT)[X.ATTACK] == 1
-    assert run(X.REPORT, X.NEGATION, X.THREAT)[X.CANCELLED] == 1
+def naive_patterns(symbols):
+    """The grammar's definition by flags, a clause at a time: how often each pattern occurs."""
+    out = dict.fromkeys(X.PATTERNS, 0)
+    reported = negated = named = insult = threat = False
+    for s in symbols:
+        if s == X.END:
+            reported = negated = named = insult = threat = False
+        elif s == X.REPORT:
+            reported = True
+        elif s == X.NEGATION:
+            negated = True
+        elif s == X.NONE:
+            negated = False
+        elif s == X.TARGET:
+            named = True
+            if insult:
+                out[X.ATTACK], insult = out[X.ATTACK] + 1, False
+            elif threat:
+                out[X.MENACE], threat = out[X.MENACE] + 1, False
+        elif negated:
+            out[X.CANCELLED], negated = out[X.CANCELLED] + 1, False
+        elif reported:
+            out[X.QUOTED] += 1
+        elif named:
+            out[X.ATTACK if s == X.INSULT else X.MENACE] += 1
+            insult, threat = (False, threat) if s == X.INSULT else (insult, False)
+        elif s == X.INSULT:
+            out[X.PILED], insult = out[X.PILED] + insult, True
+        else:
+            threat = True
+    return list(out.values())
+
+
+def test_grammar_equals_its_definition():
+    rng = random.Random(1)
+    weights = (1.5, 0.7, 2.5, -0.25, -1.0)
+    machine = X.grammar(weights)
+    for _ in range(3000):
+        stream = [rng.choice((X.NONE, X.INSULT, X.THREAT, X.TARGET, X.NEGATION, X.REPORT, X.END)) for _ in range(rng.randint(1, 14))]
+        want = naive_patterns(stream)
+        total, counts = X.run_grammar(machine, stream)
+        assert counts == want and total == pytest.approx(sum(w * n for w, n in zip(weights, want, strict=True)))
+
+
+def test_no_word_scores_by_itself():
+    machine = X.grammar((1.0,) * 5)
+    for word in (X.INSULT, X.THREAT, X.TARGET, X.NEGATION, X.REPORT, X.NONE):
+        assert X.run_grammar(machine, [word, X.END])[0] == 0
+    assert X.run_grammar(machine, [X.TARGET, X.INSULT])[0] == X.run_grammar(machine, [X.INSULT, X.TARGET])[0] == 1
+    assert X.run_grammar(machine, [X.INSULT, X.END, X.TARGET])[0] == 0
+
+
+def test_grammar_decides_over_its_words():
+    """Roles learned from labels: negated, reported and lone insults are clean; without those machines the verdicts change."""
+    rng = random.Random(12)
+    stock = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(250)]
+    clause = lambda: ["ta" if rng.random() < 0.9 else "ti", *(rng.choice(stock) for _ in range(7))]
+
+    def doc(kind):
+        parts = [clause() for _ in range(rng.randint(3, 8))]
+        own = clause()
+        if kind == "attack":
+            own.insert(rng.randint(1, len(own)), "zounds")
+        elif kind == "negated":
+            own[1:1] = ["nax", "zounds"]
+        elif kind == "reported":
+            own = ["sed", *own, "zounds"]
+        elif kind == "lone":
+            own = ["zounds"]
+        parts.insert(rng.randint(0, len(parts)), own)
+        return " ".join(" ".join(p) + "." for p in parts)
+
+    kinds = ["attack"] * 240 + ["negated"] * 9 + ["reported"] * 9 + ["lone"] * 4 + ["plain"] * 700
+    rng.shuffle(kinds)
+    model = X.train(pa.array([doc(k) for k in kinds]), np.array([int(k == "attack") for k in kinds]))
+    roles = dict(zip(model.lexicon.words.tolist(), model.lexicon.roles.tolist(), strict=True))
+    assert {w: roles.get(X._hash(w)) for w in ("ta", "nax", "sed")} == {"ta": X.TARGET, "nax": X.NEGATION, "sed": X.REPORT}
+    predict = lambda m, kind: (m.score(pa.array([doc(kind) for _ in range(60)])) >= X.THRESHOLD).mean()
+    assert predict(model, "attack") == 1 and max(predict(model, k) for k in ("negated", "reported", "lone", "plain")) == 0
+    held = ~np.isin(model.lexicon.roles, (X.NEGATION, X.REPORT))
+    blind = X.Model(X.Lexicon(model.lexicon.hits, model.lexicon.words[held], model.lexicon.roles[held]), model.intercept, model.weights)
+    assert predict(blind, "negated") == predict(blind, "reported") == 1 and predict(blind, "lone") == 0
+
+
+def test_training_rows_are_bounded(spark, documents):
+    docs = documents([(i, "x" * 100) for i in range(50)] + [(1, "x" * 100)] * 30 + [(None, "y")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    every = lambda i: F.lit(True)
+    texts, toxic = X.training_rows(docs, labels, every)
+    assert len(texts) == 50 and toxic.sum() == 25
+    assert len(X.training_rows(docs, labels, every, sample=20)[0]) == 20 and len(X.training_rows(docs, labels, every, size=1050)[0]) == 10
 
 
 def test_grammar_learns_words_and_stems(spark, documents):

@@ -1,15 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to symbols: insult and threat (learned words and stems, and a short list),
-target, negation, reported speech, or none.  Four small transducers read a clause's
-symbols and are composed into one machine: reported speech turns later hits of its
-clause into quoted ones, negation cancels the next hit, a target beside a hit makes it
-an attack, and the last writes each hit's class.  A document's score is a logistic
-function of the weights of its matched hits by class, not of isolated words.
-
-Learning uses a bounded sample of labelled rows (``SAMPLE_DOCS``, the smallest hashes
-of their ids), never labels, language, source or id as inputs.  Scoring is one Arrow
-pass without a shuffle; the model is a few arrays of at most ``LEXICON`` entries.
+Words map to symbols: insult, threat, target, negation, reported speech, or none.  Five
+small transducers read a clause's symbols and are composed into one machine: reported
+speech turns later hits of its clause into quoted ones, negation cancels the next hit
+near it, a target aims the hits after it, and the insult and threat machines write an
+attack or a menace once a hit and a target meet in a clause, in either order, or a second
+insult piles on the first.  A hit that meets nothing writes nothing that is weighed: no
+word scores by itself.  Arcs carry log-odds weights, which composition adds; a document's
+score is the logistic function of the weight of its path.
+
+Everything is learned from labelled rows.  Hits are words and stems that toxic documents
+hold beyond chance.  Threats are hits that targets follow rather than precede.  Targets
+are the other words that clauses with hits share.  Words before a hit that make a
+document clean are negations, or reports where that holds beyond ``NEAR`` words.  Short
+closed-class lists seed the roles, and prior weights serve patterns that no label shows.
+
+The sample is bounded (``SAMPLE_DOCS`` ids of smallest hash, ``SAMPLE_BYTES`` of text);
+labels, language, source or id are never inputs.  Scoring is one Arrow pass without a
+shuffle; the model is a few arrays of at most ``LEXICON`` entries.
 """
 
 from __future__ import annotations
@@ -20,12 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import table
 from tilewright.llm.kernel import Chunk, Words, chunks, gram_hashes, grams_of, mix, rolling, span_hashes
 
 SAMPLE_DOCS = 6_000
+SAMPLE_BYTES = 64 << 20
 LEXICON = 50_000
 STEM_BYTES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -45,73 +55,86 @@ NEAR = 4
 
 # ---------------------------------------------------------------- transducers
 
+#: Symbols that the machines write: hits quoted, cancelled, aimed or waiting for a target, and the matched patterns.
+QUOTED, CANCELLED, AIMED_INSULT, AIMED_THREAT, WAITING, ATTACK, PILED, MENACE = range(7, 15)
+SYMBOLS = 15
+#: Patterns with a weight, in the order of the features, and their weights before any label.
+PATTERNS = (ATTACK, PILED, MENACE, QUOTED, CANCELLED)
+PRIOR = (1.0, 1.0, 1.0, 0.0, -0.5)
+
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: arcs[(state, symbol)] = (next state, output); absent arcs keep state and symbol."""
+    """Deterministic and weighted: arcs[(state, symbol)] = (next state, output, weight); absent arcs keep state and symbol at no weight."""
 
-    arcs: dict[tuple[int, int], tuple[int, int]]
+    arcs: dict[tuple[int, int], tuple[int, int, float]]
     states: int
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), (state, symbol))
-
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
-#: Output symbols that the machines add to the input ones.
-QUOTED, CANCELLED, ATTACK = 7, 8, 9
-SYMBOLS = 10
 
-
-def reported_speech() -> Transducer:
+def reported_speech(quoted: float = 0.0) -> Transducer:
     """After a report word, hits are quoted until the clause ends."""
-    arcs = {(0, REPORT): (1, REPORT), (1, END): (0, END)}
-    for hit in (INSULT, THREAT):
-        arcs[(1, hit)] = (1, QUOTED)
-    return Transducer(arcs, 2)
+    arcs = {(0, REPORT): (1, REPORT, 0.0), (1, END): (0, END, 0.0)}
+    return Transducer(arcs | {(1, hit): (1, QUOTED, quoted) for hit in (INSULT, THREAT)}, 2)
 
 
-def negation() -> Transducer:
-    """The first hit near after a negation is cancelled."""
-    arcs = {(0, NEGATION): (1, NEGATION), (1, NONE): (0, NONE), (1, END): (0, END)}
-    for hit in (INSULT, THREAT, QUOTED):
-        arcs[(1, hit)] = (0, CANCELLED)
-    return Transducer(arcs, 2)
+def negation(cancelled: float = 0.0, quoted: float = 0.0) -> Transducer:
+    """The first hit near after a negation is cancelled; one that was quoted gives its weight back."""
+    arcs = {(0, NEGATION): (1, NEGATION, 0.0), (1, NONE): (0, NONE, 0.0), (1, END): (0, END, 0.0), (1, QUOTED): (0, CANCELLED, cancelled - quoted)}
+    return Transducer(arcs | {(1, hit): (0, CANCELLED, cancelled) for hit in (INSULT, THREAT)}, 2)
 
 
 def targeting() -> Transducer:
-    """A hit in a clause that has named a target is an attack."""
-    arcs = {(0, TARGET): (1, TARGET), (1, END): (0, END)}
-    for hit in (INSULT, THREAT):
-        arcs[(1, hit)] = (1, ATTACK)
-    return Transducer(arcs, 2)
+    """Hits after a target of their clause are aimed."""
+    arcs = {(0, TARGET): (1, TARGET, 0.0), (1, END): (0, END, 0.0)}
+    return Transducer(arcs | {(1, INSULT): (1, AIMED_INSULT, 0.0), (1, THREAT): (1, AIMED_THREAT, 0.0)}, 2)
+
+
+def insulting(attack: float = 0.0, piled: float = 0.0) -> Transducer:
+    """An aimed insult, or one that a target follows, is an attack; a further one without target piles on."""
+    arcs = {(k, AIMED_INSULT): (0, ATTACK, attack) for k in (0, 1)}
+    return Transducer(arcs | {(0, INSULT): (1, WAITING, 0.0), (1, INSULT): (1, PILED, piled), (1, TARGET): (0, ATTACK, attack), (1, END): (0, END, 0.0)}, 2)
+
+
+def threatening(menace: float = 0.0) -> Transducer:
+    """An aimed threat, or one that a target follows, is a menace."""
+    arcs = {(k, AIMED_THREAT): (0, MENACE, menace) for k in (0, 1)}
+    return Transducer(arcs | {(0, THREAT): (1, WAITING, 0.0), (1, TARGET): (0, MENACE, menace), (1, END): (0, END, 0.0)}, 2)
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The machine that feeds the first one's output to the second."""
+    """The machine that feeds the first one's output to the second; weights add."""
     arcs = {}
     for a in range(first.states):
         for b in range(second.states):
             for symbol in range(SYMBOLS):
-                a_next, middle = first.step(a, symbol)
-                b_next, out = second.step(b, middle)
-                arcs[(a * second.states + b, symbol)] = (a_next * second.states + b_next, out)
+                a_next, middle, left = first.step(a, symbol)
+                b_next, out, right = second.step(b, middle)
+                arcs[(a * second.states + b, symbol)] = (a_next * second.states + b_next, out, left + right)
     return Transducer(arcs, first.states * second.states)
 
 
-GRAMMAR = compose(compose(reported_speech(), negation()), targeting())
-#: Classes of a hit, in the order of the features.
-HITS = (INSULT, THREAT, ATTACK, QUOTED, CANCELLED)
+def grammar(weights: Sequence[float] = (0.0,) * len(PATTERNS)) -> Transducer:
+    """The composition of all five machines with the patterns' weights on their arcs."""
+    attack, piled, menace, quoted, cancelled = weights
+    machine = reported_speech(quoted)
+    for later in (negation(cancelled, quoted), targeting(), insulting(attack, piled), threatening(menace)):
+        machine = compose(machine, later)
+    return machine
 
 
-def run_grammar(symbols: Sequence[int], weights: Sequence[float]) -> list[float]:
-    """Summed weight of the hits of each class."""
-    totals = dict.fromkeys(HITS, 0.0)
-    state = 0
-    for symbol, weight in zip(symbols, weights, strict=True):
-        state, out = GRAMMAR.step(state, symbol)
-        if out in totals:
-            totals[out] += weight
-    return [totals[h] for h in HITS]
+def run_grammar(machine: Transducer, symbols: Sequence[int]) -> tuple[float, list[int]]:
+    """Weight of the path, and how often each pattern was written."""
+    counts = dict.fromkeys(PATTERNS, 0)
+    state, total = 0, 0.0
+    for symbol in symbols:
+        state, out, weight = machine.step(state, symbol)
+        total += weight
+        if out in counts:
+            counts[out] += 1
+    return total, [counts[p] for p in PATTERNS]
 
 
 # ---------------------------------------------------------------- words
@@ -158,19 +181,20 @@ def find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Learned hits: sorted hashes of words and stems with their weights (log odds)."""
+    """Sorted hashes of words and stems that are hits, and of whole words with a role (a closed-class word's role comes first)."""
 
-    keys: np.ndarray
-    weights: np.ndarray
+    hits: np.ndarray
+    words: np.ndarray
+    roles: np.ndarray
 
-    def weigh(self, words: Words, sums: np.ndarray) -> np.ndarray:
-        """Per word the largest weight of itself and its stems; 0 for no hit."""
-        out = np.zeros(len(words.starts))
+    def symbols(self, words: Words, sums: np.ndarray) -> np.ndarray:
+        """Per word its symbol."""
+        out = np.zeros(len(words.starts), np.int64)
         for at, hashes in features(words, sums):
-            found = find(self.keys, hashes)
-            held = found >= 0
-            np.maximum.at(out, at[held], self.weights[found[held]])
-        return out
+            out[at[find(self.hits, hashes) >= 0]] = INSULT
+        found = find(self.words, span_hashes(sums, words.starts, words.ends))
+        role = np.where(found >= 0, self.roles[np.maximum(found, 0)], NONE) if len(self.roles) else np.zeros(len(out), np.int64)
+        return np.where(role != NONE, role, out)
 
 
 _CLOSED_KEYS, _CLOSED_CLASS = (
@@ -212,17 +236,14 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[new], b[new]
 
 
-def learn_lexicon(texts: pa.Array, labels: np.ndarray, least: int = 3, bound: float = 1.0) -> Lexicon:
-    """Words and stems whose texts are toxic more often than chance among all words tested explains.
+def learn_hits(texts: pa.Array, labels: np.ndarray, groups: np.ndarray, verdict: np.ndarray, least: int = 3, bound: float = 1.0) -> np.ndarray:
+    """Sorted hashes of words and stems whose texts are mostly toxic, more than chance among all words tested explains.
 
     The log likelihood ratio against the base rate must exceed the log of the number of
     words tested by ``bound``.
 
-    Copies of a text count as one, toxic if one of them is.
+    Copies of a text (equal ``groups``) count as one, toxic by the group's ``verdict``.
     """
-    groups = copy_groups(texts)
-    verdict = np.zeros(len(labels), np.int64)
-    np.maximum.at(verdict, groups, labels)
     held, docs = [], []
     for chunk in chunks(texts):
         words, sums = letter_words(chunk)
@@ -232,7 +253,7 @@ def learn_lexicon(texts: pa.Array, labels: np.ndarray, least: int = 3, bound: fl
             held.append(hashes)
             docs.append(found)
     if not held:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
+        return np.zeros(0, np.uint64)
     hashes, found = distinct_pairs(np.concatenate(held), np.concatenate(docs))
     new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
     keys, which = hashes[new], np.cumsum(new) - 1
@@ -241,66 +262,123 @@ def learn_lexicon(texts: pa.Array, labels: np.ndarray, least: int = 3, bound: fl
     clean = np.bincount(which[~toxic], minlength=len(keys))
     seen = np.unique(groups)
     positive, negative = (verdict[seen] == 1).sum(), (verdict[seen] != 1).sum()
-    odds = np.log((hits + 0.5) / (positive - hits + 0.5)) - np.log((clean + 0.5) / (negative - clean + 0.5))
     base = positive / max(1, positive + negative)
     held_in = hits + clean
     share = hits / np.maximum(held_in, 1)
     surprise = hits * np.log(np.maximum(share, 1e-12) / max(base, 1e-12)) + clean * np.log(np.maximum(1 - share, 1e-12) / max(1 - base, 1e-12))
     tested = (held_in >= least).sum()
     sure = np.where(share > base, surprise, 0) - np.log(max(tested, 1))
-    chosen = np.flatnonzero((hits >= least) & (sure > bound))
+    chosen = np.flatnonzero((hits >= least) & (hits > 9 * clean) & (sure > bound))
     if len(chosen) > LEXICON:
         chosen = np.sort(chosen[np.argsort(-sure[chosen], kind="stable")[:LEXICON]])
-    return Lexicon(keys[chosen], np.minimum(odds[chosen], 12.0) / 12.0)
+    return keys[chosen]
 
 
-def grammar_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per text the summed hit weights by class, from the composed machine."""
-    out = np.zeros((len(texts), len(HITS)))
+def clauses(chunk: Chunk, words: Words) -> np.ndarray:
+    """Per word the number of its clause, rising over the chunk; texts never share one."""
+    ends = np.concatenate(([0], np.cumsum(_CLAUSE_END[chunk.data])))
+    return ends[words.starts] + words.owners()
+
+
+def learn_lexicon(texts: pa.Array, labels: np.ndarray, least: int = 3) -> Lexicon:
+    """Hits, then the roles of the words around them; copies of a text count as one.
+
+    Roles weigh documents, not words.  A target stands in the hit clauses of at least
+    ``least`` toxic documents and a hundredth of them.  A negation or report precedes
+    hits whose documents are clean beyond chance, judged as for hits, against the share
+    of clean ones among documents with hits.
+    """
+    groups = copy_groups(texts)
+    verdict = np.zeros(len(labels), np.int64)
+    np.maximum.at(verdict, groups, labels)
+    hits = learn_hits(texts, labels, groups, verdict)
+    plain = Lexicon(hits, _CLOSED_KEYS, _CLOSED_CLASS)
+    seen: dict[str, list[tuple[int, int]]] = {"near": [], "far": [], "after": [], "hit": []}
+    sides: dict[str, list[tuple[int, int, int]]] = {"before": [], "follow": []}
+    for chunk in chunks(texts):
+        words, sums = letter_words(chunk)
+        if not len(words.starts):
+            continue
+        symbols, clause, owner = plain.symbols(words, sums), clauses(chunk, words), groups[words.owners() + chunk.rows.start]
+        names = span_hashes(sums, words.starts, words.ends)
+        first = np.searchsorted(clause, clause, "left")
+        last = np.searchsorted(clause, clause, "right")
+        for k in np.flatnonzero(symbols == INSULT):
+            doc = int(owner[k])
+            others = lambda a, b: ((int(n), doc) for n, s in zip(names[a:b], symbols[a:b], strict=True) if s in (NONE, TARGET))  # noqa: B023, E731
+            seen["hit"].append((int(names[k]), doc))
+            seen["near"] += others(max(first[k], k - NEAR), k)
+            seen["far"] += others(first[k], max(first[k], k - NEAR))
+            seen["after"] += others(k + 1, last[k])
+            for side, a, b in (("before", max(first[k], k - NEAR), k), ("follow", k + 1, min(last[k], k + 1 + NEAR))):
+                sides[side] += [(int(names[k]), name, doc) for name, _ in others(a, b)]
+    with_hits = np.unique([d for _, d in seen["hit"]]).astype(np.int64)
+    toxic_docs = int((verdict[with_hits] == 1).sum())
+    clean_share = 1 - toxic_docs / max(1, len(with_hits))
+
+    def tally(pairs: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+        """Per word its toxic and clean documents."""
+        out: dict[int, list[int]] = {}
+        for name, doc in set(pairs):
+            out.setdefault(name, [0, 0])[0 if verdict[doc] == 1 else 1] += 1
+        return {n: (t, c) for n, (t, c) in out.items()}
+
+    def cleaning(found: dict[int, tuple[int, int]]) -> set[int]:
+        base = min(max(clean_share, 1e-3), 1 - 1e-3)
+        tested = sum(t + c >= least for t, c in found.values())
+        surprise = lambda t, c: c * np.log(c / (t + c) / base) + (t and t * np.log(t / (t + c) / (1 - base)))
+        return {n for n, (t, c) in found.items() if c >= least and c > (t + c) * base and surprise(t, c) - np.log(max(tested, 1)) > 1.0}
+
+    reports = cleaning(tally(seen["far"]))
+    negations = cleaning(tally(seen["near"])) - reports
+    seeds = set(_CLOSED_KEYS[_CLOSED_CLASS == TARGET].tolist())
+    around = tally(seen["near"] + seen["far"] + seen["after"])
+    targets = {n for n, (t, _) in around.items() if t >= max(least, toxic_docs / 100)}
+    before, follow = (tally([(hit, doc) for hit, name, doc in sides[side] if name in targets or name in seeds]) for side in ("before", "follow"))
+    threats = {n for n, (t, _) in follow.items() if t >= least and t > 4 * sum(before.get(n, (0, 0)))}
+    roles = dict.fromkeys(targets, TARGET) | dict.fromkeys(threats, THREAT) | dict.fromkeys(negations, NEGATION) | dict.fromkeys(reports, REPORT)
+    roles |= dict(zip(_CLOSED_KEYS.tolist(), _CLOSED_CLASS.tolist(), strict=True))
+    keys = np.array(sorted(roles), np.uint64)
+    return Lexicon(hits, keys, np.array([roles[int(k)] for k in keys], np.int64))
+
+
+def symbol_streams(texts: pa.Array, lexicon: Lexicon) -> Iterator[tuple[int, list[int]]]:
+    """(row, symbols) of the texts with a hit: END between clauses, NONE for a gap of over NEAR words."""
     for chunk in chunks(texts):
         words, sums = letter_words(chunk)
         if not len(words.starts):
             continue
-        weights = lexicon.weigh(words, sums)
-        closed = find(_CLOSED_KEYS, span_hashes(sums, words.starts, words.ends))
-        symbols = np.where(closed >= 0, _CLOSED_CLASS[np.maximum(closed, 0)], NONE)
-        symbols[weights > 0] = INSULT
-        weights[(symbols == THREAT) & (weights == 0)] = 1.0
-        owner = words.owners()
-        ends = np.concatenate(([0], np.cumsum(_CLAUSE_END[chunk.data])))
-        clause = ends[words.starts]
-        for row in np.unique(owner[(symbols == INSULT) | (symbols == THREAT)]):
-            at = words.first[row] + np.flatnonzero(symbols[words.first[row] : words.first[row + 1]])
+        symbols, clause, owner = lexicon.symbols(words, sums), clauses(chunk, words), words.owners()
+        hit_clause = np.isin(clause, clause[(symbols == INSULT) | (symbols == THREAT)])
+        held = np.flatnonzero(hit_clause & (symbols != NONE))  # a clause without a hit leaves every machine where it was
+        for part in np.split(held, np.flatnonzero(np.diff(owner[held])) + 1) if len(held) else ():
             stream: list[int] = []
-            load: list[float] = []
-            last = None
-            for k in at:
-                if last is not None and clause[k] != clause[last]:
+            for k, before in zip(part, [None, *part[:-1]], strict=True):
+                if before is not None and clause[k] != clause[before]:
                     stream.append(END)
-                    load.append(0.0)
-                elif last is not None and k - last > NEAR:
+                elif before is not None and k - before > NEAR:
                     stream.append(NONE)
-                    load.append(0.0)
                 stream.append(int(symbols[k]))
-                load.append(float(weights[k]))
-                last = k
-            out[chunk.rows.start + row] = run_grammar(stream, load)
-    return out
+            yield chunk.rows.start + int(owner[part[0]]), [*stream, END]
 
 
-def _design(hits: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(hits)), (hits > 0), np.log1p(hits)])
+def grammar_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """Per text how often the composed machine writes each pattern."""
+    machine, out = grammar(), np.zeros((len(texts), len(PATTERNS)))
+    for row, stream in symbol_streams(texts, lexicon):
+        out[row] = run_grammar(machine, stream)[1]
+    return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Newton steps; the ridge spares the intercept."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
+    """Newton steps towards the prior weights; the ridge spares the intercept."""
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
-    beta = np.zeros(x.shape[1])
+    beta = prior.astype(float).copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        change = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
-        beta += np.clip(change, -4, 4)
+        change = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * (beta - prior))
+        beta += np.clip(change, -1, 1)
         if np.abs(change).max() < 1e-9:
             break
     return beta
@@ -309,29 +387,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 @dataclass
 class Model:
     lexicon: Lexicon
-    beta: np.ndarray
+    intercept: float
+    weights: Sequence[float]
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(grammar_features(texts, self.lexicon)) @ self.beta, -30, 30)))
+        machine, total = grammar(self.weights), np.full(len(texts), self.intercept)
+        for row, stream in symbol_streams(texts, self.lexicon):
+            total[row] += run_grammar(machine, stream)[0]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def train(texts: pa.Array, labels: np.ndarray) -> Model:
-    """Lexicon from all rows; the logistic part from hits that the other half's lexicon finds."""
+    """Lexicon from all rows; the weights from patterns that the other half's lexicon finds."""
     if len(labels) == 0 or labels.min() == labels.max():
         rate = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
-        beta = np.zeros(1 + 2 * len(HITS))
-        beta[0] = np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))
-        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), beta)
-    hits = np.zeros((len(labels), len(HITS)))
+        return Model(Lexicon(np.zeros(0, np.uint64), _CLOSED_KEYS, _CLOSED_CLASS), float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))), PRIOR)
+    counts = np.zeros((len(labels), len(PATTERNS)))
     half = np.arange(len(labels)) % 2
     for side in (0, 1):
         own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
-        hits[own] = grammar_features(texts.take(pa.array(own)), learn_lexicon(texts.take(pa.array(other)), labels[other]))
-    return Model(learn_lexicon(texts, labels), fit_logistic(_design(hits), labels.astype(float)))
+        counts[own] = grammar_features(texts.take(pa.array(own)), learn_lexicon(texts.take(pa.array(other)), labels[other]))
+    beta = fit_logistic(np.column_stack([np.ones(len(labels)), counts]), labels.astype(float), np.array([0.0, *PRIOR]))
+    return Model(learn_lexicon(texts, labels), float(beta[0]), tuple(float(b) for b in beta[1:]))
+
 
+def training_rows(docs: DataFrame, labels: DataFrame, use, sample: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """The labelled rows learned from, one text per id: at most ``sample`` ids that pass ``use``, by hash, while their texts fit ``size`` bytes.
 
-def training_rows(docs: DataFrame, labels: DataFrame, use, sample: int = SAMPLE_DOCS) -> tuple[pa.Array, np.ndarray]:
-    """The labelled rows learned from: ``sample`` ids at most, those of smallest hash among the ids that pass ``use``."""
+    Of rows that repeat an id the text of smallest hash counts; repeated labels count as toxic if one is.
+    """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & use(F.col("doc_id")))
         .groupBy("doc_id")
@@ -339,8 +423,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, use, sample: int = SAMPLE_
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash")).join(F.broadcast(chosen), "doc_id")
+    sized = rows.groupBy("doc_id").agg(F.min(F.struct("_hash", F.octet_length("text").alias("_size"))).alias("_one"))
+    running = F.sum("_one._size").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most ``sample`` rows
+    fits = sized.withColumn("_all", running).where(F.col("_all") <= size).select("doc_id", "_one._hash")
+    found = rows.join(F.broadcast(fits), ["doc_id", "_hash"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")])
     return found.column("text").combine_chunks(), found.column("toxic").to_numpy().astype(np.int64)
 
 
@@ -349,7 +437,11 @@ def held_out(doc_id, parts: int = 4):
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row; null and empty texts have no hits and score as such."""
+    """doc_id, score of every row.
+
+    Null and empty texts have no hits and score as such, equal texts alike; an empty table
+    gives no rows.  Extra columns, clashing names included, are not used.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
