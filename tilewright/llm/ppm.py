@@ -76,21 +76,6 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def pack_values(values: np.ndarray) -> bytes:
-    """Values by their rank among the distinct ones, most frequent first: scores repeat often."""
-    distinct, which, often = np.unique(values, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    book = pack(distinct[order])
-    return len(book).to_bytes(8, "little") + book + pack(rank[which])
-
-
-def unpack_values(data: bytes, kind: type) -> np.ndarray:
-    cut = 8 + int.from_bytes(data[:8], "little")
-    return unpack(data[8:cut], kind)[unpack(data[cut:], np.uint32)]
-
-
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
@@ -244,9 +229,10 @@ def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for _, rows in _cut(batches):
         reading = read_texts(rows.column("text"))
-        keys = low_codes(windows(reading))[np.repeat(_trained(rows), np.diff(reading.texts))]
-        keys.sort()
-        found = [merge([*found, distinct(keys)])]
+        codes = low_codes(windows(reading))[np.repeat(_trained(rows), np.diff(reading.texts))].astype(np.uint32)
+        codes.sort()
+        own, often = distinct(codes)
+        found = [merge([*found, (own.astype(np.uint64), often)])]
     yield pa.RecordBatch.from_arrays([pa.array(found[0][0].astype(np.int64)), pa.array(found[0][1])], ["code", "n"])
 
 
@@ -378,7 +364,7 @@ def _answer(roots: Roots) -> Callable[[pa.Table], pa.Table]:
             coded = pa.concat_arrays(words).dictionary_encode()
             which = coded.indices.to_numpy()
             total = np.bincount(which, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
-            found = [pack_values(total[own]) for own in np.split(which, np.cumsum([len(w) for w in words])[:-1])]
+            found = [pack(total[own].astype(np.uint32)) for own in np.split(which, np.cumsum([len(w) for w in words])[:-1])]
             return _answers(chunk, kind, part, found, int(total.sum()), int((total > 0).sum()))
         pending: list[tuple[np.ndarray, np.ndarray]] = []
         for name, count in zip(asked.column("names"), asked.column("counts"), strict=True):
@@ -386,8 +372,8 @@ def _answer(roots: Roots) -> Callable[[pa.Table], pa.Table]:
             if sum(len(k) for k, _ in pending) > MERGE_KEYS:
                 pending = [merge(pending)]
         keys, counts = merge(pending)
-        scores = trie_scores(keys, counts, roots)
-        found = [pack_values(scores[np.searchsorted(keys, unpack_sorted(name.as_py()))]) for name in asked.column("names")]
+        scores = trie_scores(keys, counts, roots).astype(np.float32)
+        found = [pack(scores[np.searchsorted(keys, unpack_sorted(name.as_py()))]) for name in asked.column("names")]
         return _answers(chunk, kind, part, found, 0, 0)
 
     return run
@@ -417,9 +403,9 @@ def _totals(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         reading = read_texts(rows.column("text"))
         found = {(k, p): f for k, p, f in zip(*(answers.column(x).to_pylist() for x in ("kind", "part", "found")), strict=True)}
         words, cut, places = distinct_words(reading, ranges)
-        counts = np.concatenate([unpack_values(found[WORDS, int(r)], np.int64) for r in np.flatnonzero(np.diff(cut))])[places]
+        counts = np.concatenate([unpack(found[WORDS, int(r)], np.uint32) for r in np.flatnonzero(np.diff(cut))])[places]
         per_text = lambda x: np.add.reduceat(x, reading.first[:-1])
-        known, plain = per_text((counts > 0).astype(np.int64)), per_text(np.log10(counts + 1))
+        known, plain = per_text((counts > 0).astype(np.int64)), per_text(np.log10(counts + 1.0))
         del words, counts, places
         keys = windows(reading)
         order = np.argsort(keys)
@@ -427,7 +413,7 @@ def _totals(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         del keys
         at, cut = dealt(every, ranges)
         scores = np.empty(len(every))
-        scores[at] = np.concatenate([unpack_values(found[WINDOWS, int(r)], np.float64) for r in np.flatnonzero(np.diff(cut))])
+        scores[at] = np.concatenate([unpack(found[WINDOWS, int(r)], np.float32) for r in np.flatnonzero(np.diff(cut))])
         per_byte = np.empty(len(order))
         per_byte[order] = np.repeat(scores, often)
         score = np.add.reduceat(per_byte, reading.texts[:-1])
@@ -456,7 +442,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[Column], Column]) -> Da
     ``held_out`` maps the doc_id column to a boolean column; null counts as false.  A
     null or empty text is its end mark alone.  Without training rows every byte is
     equally likely.  Equal rows score alike, an empty table gives no rows, and extra
-    columns, clashing names included, are not used.
+    columns, clashing names included, are not used.  A byte's score is rounded to 32 bits.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
