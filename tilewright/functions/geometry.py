@@ -63,5 +63,10 @@ def half_even(value: Column) -> Column:
     return F.rint(value).cast("long")
 
 
+def places(value: Column, n: int) -> Column:
+    """Rounding to ``n`` decimal places, ties to even, by one rule on binary numbers that every engine computes alike."""
+    return F.rint(value * 10.0**n) / F.lit(10.0**n)
+
+
 def clamp(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(value, high))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.sources.tables import hand_over
+
 
 def _refuse(rows: DataFrame, column: str, message: str) -> None:
     bad = sorted(r[0] for r in rows.select(column).distinct().limit(20).collect())
@@ -99,22 +101,26 @@ def add_labels(categories: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def set_parent(categories: DataFrame, name: str, parent: str) -> DataFrame:
-    """Re-parent a label; "" makes it a root, a name without label becomes a heading."""
+    """Re-parent a label; "" makes it a root.  A parent must be a label or a heading in use, and no descendant."""
     label_ids(categories, [name])
+    if parent and categories.where((F.col("name") == parent) | (F.col("supercategory") == parent)).isEmpty():
+        raise KeyError(f"neither label nor heading: {parent!r}")
     if parent == name or not ancestors(categories).where((F.col("name") == parent) & (F.col("ancestor") == name)).isEmpty():
         raise ValueError(f"{parent!r} lies below {name!r}")
     return categories.withColumn("supercategory", F.when(F.col("name") == name, F.lit(parent)).otherwise(F.col("supercategory")))
 
 
 def append_rows(table: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
-    """New rows with ids after the largest, in the given order.
+    """New rows with ids after the largest, in the given order (which must be total).
 
-    Numbers come from range partitions and their sizes, so no task sees all new rows.
+    Numbers come from range partitions and their sizes, so no task sees all new rows.  The
+    ranged rows are written once and then counted and numbered, so a partition that is
+    computed again cannot change its numbers.
     """
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
-    ranged = new.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    ranged = hand_over(new.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranged")
     ranged = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     numbered = ranged.join(F.broadcast(before.drop("_n")), "_part").withColumn("id", F.lit(last) + F.col("_before") + F.col("_in"))
     return table.unionByName(numbered.drop("_part", "_in", "_before"), allowMissingColumns=True)
@@ -142,9 +148,11 @@ def latest(log: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max(order).alias(order), F.min(order).alias("position"), *[F.max_by(c, order).alias(c) for c in rest])
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` in place of those of equal keys, others appended."""
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], position: str = "position") -> DataFrame:
+    """Rows of ``new`` in place of those of equal keys, at the old row's position; others appended at their own."""
+    held = old.select(*keys, F.col(position).alias("_held"), F.lit(True).alias("_old"))
+    placed = new.join(held, list(keys), "left").withColumn(position, F.when(F.col("_old"), F.col("_held")).otherwise(F.col(position))).select(*new.columns)
+    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(placed)
 
 
 def live_events(landed: DataFrame, retracted: DataFrame, origin: Sequence[str]) -> DataFrame:

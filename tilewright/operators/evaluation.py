@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
+from tilewright.operators.masks import mask_area, mask_pairs
 from tilewright.operators.matching import greedy_match
-from tilewright.operators.runs import box_runs, union_area
+from tilewright.operators.runs import box_strips, clip_boxes, strip_union_area
 from tilewright.operators.spatial import range_join
 
 GROUP = ["image_id", "category"]
@@ -28,15 +29,31 @@ def matches(pred: DataFrame, ref: DataFrame, threshold: float = 0.5) -> DataFram
 
 def outcomes(pred: DataFrame, ref: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(image_id, category, kind, pred, ref, iou, area): tp pairs, then fp and fn rows."""
-    found = matches(pred, ref, threshold)
-    p = pred.select(*GROUP, F.col("ann_id").alias("pred"), G.area("").alias("pred_area"))
-    r = ref.select(*GROUP, F.col("ann_id").alias("ref"), G.area("").alias("ref_area"))
+    sized = lambda side: side.select(*GROUP, "ann_id", G.area("").alias("area"))
+    return outcomes_of(matches(pred, ref, threshold), sized(pred), sized(ref))
+
+
+def mask_outcomes(pred: DataFrame, ref: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The same of masks, given as disjoint rectangles."""
+    edges = mask_pairs(pred, ref).select(*GROUP, F.col("pred_id").alias("pred"), F.col("ref_id").alias("ref"), "iou")
+    return outcomes_of(greedy_match(edges, GROUP, threshold), mask_area(pred, [*GROUP, "ann_id"]), mask_area(ref, [*GROUP, "ann_id"]))
+
+
+def outcomes_of(found: DataFrame, pred: DataFrame, ref: DataFrame) -> DataFrame:
+    """Outcomes of matched pairs among all instances (group, ann_id, area) of both sides."""
+    p = pred.select(*GROUP, F.col("ann_id").alias("pred"), F.col("area").alias("pred_area"))
+    r = ref.select(*GROUP, F.col("ann_id").alias("ref"), F.col("area").alias("ref_area"))
     both = r.join(found, [*GROUP, "ref"], "left")
     hit_or_missed = both.select(*GROUP, F.when(F.col("pred").isNull(), "fn").otherwise("tp").alias("kind"), "pred", "ref", "iou", F.col("ref_area").alias("area"))
     extra = p.join(found.select(*GROUP, "pred"), [*GROUP, "pred"], "left_anti")
     return hit_or_missed.unionByName(extra.select(*GROUP, F.lit("fp").alias("kind"), "pred", F.lit(None).cast("long").alias("ref"), F.lit(None).cast("double").alias("iou"), F.col("pred_area").alias("area")))
 
 
+def listed(found: DataFrame) -> DataFrame:
+    """Evaluation rows: category, kind, ids, area, and IoU with four places."""
+    return found.select("image_id", "category", "kind", "pred", "ref", "area", G.places(F.col("iou"), 4).alias("iou"))
+
+
 def metrics(tp: Column, fp: Column, fn: Column, iou_sum: Column) -> dict[str, Column]:
     """Ratios of the counts; 0/0 is 0."""
     return {
@@ -83,10 +100,10 @@ def band_recall(found: DataFrame, downscale: int = 1) -> DataFrame:
     return filled.withColumn("recall", F.try_divide(F.col("hits").cast("double"), F.col("total").cast("double")))
 
 
-def splits_and_merges(found_pairs: DataFrame) -> DataFrame:
-    """Per category: references that two or more predictions lie half in, predictions that two or more references lie half in."""
+def splits_and_merges(found_pairs: DataFrame, cover: float = 0.5) -> DataFrame:
+    """Per category: references that hold ``cover`` of two or more predictions each, predictions that hold ``cover`` of two or more references."""
     def crowded(one: str, area: str) -> DataFrame:
-        held = found_pairs.where(2 * F.col("inter") >= F.col(area)).groupBy("category", one).count()
+        held = found_pairs.where(F.col("inter") >= cover * F.col(area)).groupBy("category", one).count()
         return held.where("count >= 2").groupBy("category").agg(F.count("*").alias("n"))
 
     base = found_pairs.select("category").distinct()
@@ -96,9 +113,10 @@ def splits_and_merges(found_pairs: DataFrame) -> DataFrame:
 
 def semantic(pred: DataFrame, ref: DataFrame, height: int) -> DataFrame:
     """Pixel metrics per category over unions of masks: intersection by inclusion and exclusion."""
-    p, r = box_runs(pred, GROUP, height), box_runs(ref, GROUP, height)
-    sides = p.withColumn("side", F.lit("p")).unionByName(r.withColumn("side", F.lit("r"))).unionByName(p.unionByName(r).withColumn("side", F.lit("u")))
-    areas = union_area(sides, [*GROUP, "side"], height)
+    sides = [clip_boxes(b.select(*GROUP, "x0", "y0", "x1", "y1"), height).withColumn("_side", F.lit(k)) for b, k in ((pred, "p"), (ref, "r"))]
+    strips = box_strips(sides[0].unionByName(sides[1]), GROUP)
+    both = strips.withColumn("side", F.explode(F.array("_side", F.lit("u")))).drop("_side")
+    areas = strip_union_area(both, [*GROUP, "side"])
     take = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("area"))), F.lit(0))
     sums = areas.groupBy("category").agg(take("p").alias("pred_px"), take("r").alias("ref_px"), take("u").alias("union_px")).withColumn("inter_px", F.col("pred_px") + F.col("ref_px") - F.col("union_px"))
     i, a, b = F.col("inter_px"), F.col("pred_px"), F.col("ref_px")

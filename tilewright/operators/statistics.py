@@ -50,10 +50,14 @@ def neighbors(images: DataFrame) -> DataFrame:
 
 
 def top_rows(annotations: DataFrame, per: Sequence[str], limit: int) -> DataFrame:
-    """At most ``limit`` best-scored rows per group, with the number left out."""
+    """At most ``limit`` best-scored rows per group, with the number left out.
+
+    Groups are counted apart from the ranking, so that the rank filter can cut groups before their shuffle.
+    """
     by = W.partitionBy(*per).orderBy(F.col("score").desc(), "ann_id")
-    ranked = annotations.withColumn("rank", F.row_number().over(by)).withColumn("hidden", F.greatest(F.count("*").over(W.partitionBy(*per)) - limit, F.lit(0)))
-    return ranked.where(F.col("rank") <= limit)
+    best = annotations.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+    hidden = annotations.groupBy(*per).agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("hidden"))
+    return best.join(hidden, list(per))
 
 
 def typical_sized(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,8 +99,16 @@ def dominant(annotations: DataFrame, per: Sequence[str]) -> DataFrame:
     return n.groupBy(*per).agg(best).select(*per, "best.category", "best.n")
 
 
+def thousandths(value: Column) -> Column:
+    """Rounding to three places, ties up, by one rule that every engine computes alike."""
+    return F.floor(value * 1000 + F.lit(0.5)) / F.lit(1000.0)
+
+
 def pace(samples: DataFrame, key: str, value: str, order: str, alpha: float = 0.3) -> DataFrame:
-    """Exponentially weighted mean per key, started by the first positive sample and rounded to three places a step."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda s: s[value])
-    step = lambda acc, x: F.when(x <= 0, acc).when(acc.isNull(), F.round(x, 3)).otherwise(F.round(F.lit(alpha) * x + F.lit(1 - alpha) * acc, 3))
+    """Exponentially weighted mean per key, started by the first positive sample and rounded to three places a step.
+
+    Rounding makes each step depend on the one before, so a key's samples fold in order in one row.
+    """
+    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col(value) > 0, F.struct(order, value)))), lambda s: s[value])
+    step = lambda acc, x: F.when(acc.isNull(), thousandths(x)).otherwise(thousandths(F.lit(alpha) * x + F.lit(1 - alpha) * acc))
     return samples.groupBy(key).agg(ordered.alias("v")).select(key, F.aggregate("v", F.lit(None).cast("double"), step).alias("pace"))

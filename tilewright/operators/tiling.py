@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
+from tilewright.operators.spatial import range_join
 
 
 def starts(length: Column, size: int, step: int) -> Column:
@@ -24,18 +25,22 @@ def grid(images: DataFrame, size: int = 256, overlap: float = 0.25, presented: i
     return xs.select("image_id", (F.col("row") * F.col("columns") + F.col("column")).cast("int").alias("tile"), "x0", "y0", x1.alias("x1"), y1.alias("y1"), F.least(F.lit(1.0), F.lit(float(presented)) / longest).alias("scale"))
 
 
+def axis_spans(tiles: DataFrame, key: str = "image_id") -> DataFrame:
+    """(image_id, xs, ys): the distinct spans of an image's tiles on each axis; as many as rows and columns, not tiles."""
+    span = lambda a: F.array_sort(F.collect_set(F.struct(F.col(f"{a}0").alias("a"), F.col(f"{a}1").alias("b"))))
+    return tiles.groupBy(key).agg(span("x").alias("xs"), span("y").alias("ys"))
+
+
 def cores(tiles: DataFrame) -> DataFrame:
-    """Tiles with their cores cx0 … cy1: what no overlapping tile of the image shares on that axis."""
-    a = tiles.select("image_id", "tile", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = tiles.select("image_id", F.col("tile").alias("other"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    met = a.join(b, "image_id").where((F.col("tile") != F.col("other")) & G.intersects("a_", "b_"))
-    cuts = []
+    """Grid tiles with their cores cx0 … cy1: what no overlapping tile of the image shares on that axis."""
+    out = tiles.join(axis_spans(tiles), "image_id")
+    ends = []
     for axis in "xy":
-        (a0, a1), (b0, b1) = G.side("a_", axis), G.side("b_", axis)
-        cuts += [F.max(F.when((b0 < a0) & (a0 < b1), b1)).alias(f"low_{axis}"), F.min(F.when((b0 < a1) & (a1 < b1), b0)).alias(f"high_{axis}")]
-    bounds = met.groupBy("image_id", "tile").agg(*cuts)
-    out = tiles.join(bounds, ["image_id", "tile"], "left")
-    return out.select(*tiles.columns, F.greatest("x0", "low_x").alias("cx0"), F.greatest("y0", "low_y").alias("cy0"), F.least("x1", "high_x").alias("cx1"), F.least("y1", "high_y").alias("cy1"))
+        ends += [
+            F.expr(f"greatest({axis}0, array_max(transform(filter({axis}s, s -> s.a < {axis}0 AND {axis}0 < s.b), s -> s.b)))").alias(f"c{axis}0"),
+            F.expr(f"least({axis}1, array_min(transform(filter({axis}s, s -> s.a < {axis}1 AND {axis}1 < s.b), s -> s.a)))").alias(f"c{axis}1"),
+        ]
+    return out.select(*tiles.columns, *ends)
 
 
 def unambiguous(box: str, core: str, width: Column, height: Column) -> Column:
@@ -53,12 +58,15 @@ def truncated(box: str, tile: str, margin: Column, width: Column, height: Column
 
 
 def detect_boxes(scenes: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Deterministic detector: every scene box clipped to every tile of its image that it meets, in image pixels."""
-    a = scenes.select("image_id", "ann_id", "score", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = tiles.select("image_id", "tile", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    seen = a.join(b, "image_id").where(G.intersects("a_", "b_"))
-    clip = [F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1")]
-    return seen.select("image_id", "tile", "ann_id", "score", *clip)
+    """Deterministic detector: every scene box clipped to every tile of its image that it meets, in image pixels.
+
+    Boxes and tiles meet through a grid of cells as wide as the tiles, not pair by pair.
+    """
+    side = tiles.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    corner = ("x0", "y0", "x1", "y1")
+    seen = range_join(scenes.select("image_id", "ann_id", "score", *corner), tiles.select("image_id", "tile", *corner), ["image_id"], cell=max(1, int(side or 1)))
+    clip = [(F.greatest if c.endswith("0") else F.least)(f"a_{c}", f"b_{c}").alias(c) for c in corner]
+    return seen.select("image_id", F.col("b_tile").alias("tile"), F.col("a_ann_id").alias("ann_id"), F.col("a_score").alias("score"), *clip)
 
 
 def pack(ordered: DataFrame, position: str, k: int, side: int) -> DataFrame:

@@ -16,10 +16,12 @@ from tilewright.operators import statistics as T
 from tilewright.operators import sweep as P
 from tilewright.operators import tiling as L
 from tilewright.operators.matching import seeded_groups
+from tilewright.plans import catalogue_masks, catalogue_review, catalogue_sweep
 from tilewright.plans import fixtures as X
 from tilewright.plans.oracles import ORACLES
 from tilewright.sources.coco import normalize_prompt
-from tilewright.streaming.events import fold_directory, shared_folder
+from tilewright.sources.tables import shared_folder
+from tilewright.streaming.events import fold_directory
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +72,7 @@ def eval_semantic(spark, d):
 
 
 def mask_union_area(spark, d):
-    return R.union_area(R.box_runs(_both(spark, d)[1], E.GROUP, X.FRAME), E.GROUP, X.FRAME)
+    return R.strip_union_area(R.box_strips(R.clip_boxes(_both(spark, d)[1], X.FRAME), E.GROUP), E.GROUP)
 
 
 def mask_centroid(spark, d):
@@ -202,7 +204,7 @@ def ewma_pace(spark, d):
 
 
 def normalize_prompts(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(normalize_prompt(F.regexp_replace("text", "[^ -~]", "x")), 256).alias("prompt_sha256"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(normalize_prompt(F.col("text")), 256).alias("prompt_sha256"))
 
 
 def dedup_seed_groups(spark, d):
@@ -218,9 +220,10 @@ def retract_antijoin(spark, d):
 
 
 def _scenes(spark, d):
+    """Predicted boxes cut to their image's size; what lies outside has no pixel there."""
     sized = X.images(spark, d).select(F.col("id").alias("image_id"), "width", "height")
-    inside = X.corners(X.predicted(spark, d)).join(sized, "image_id").where("x1 <= width AND y1 <= height")
-    return inside.select("image_id", "width", "height", "ann_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "score")
+    held = X.corners(X.predicted(spark, d)).join(sized, "image_id").withColumn("x1", F.least("x1", "width")).withColumn("y1", F.least("y1", "height"))
+    return held.where("x0 < x1 AND y0 < y1").select("image_id", "width", "height", "ann_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "score")
 
 
 def sweep_events(spark, d):
@@ -232,11 +235,12 @@ def sweep_survivors(spark, d):
 
 
 def cluster_ambiguous(spark, d):
-    return P.run_clusters(_scenes(spark, d), 204.8, 4.0)
+    return P.clusters(_scenes(spark, d), 204.8, 4.0)
 
 
 def exemplar_cover(spark, d):
-    return P.run_exemplars(_scenes(spark, d))
+    sizes = X.images(spark, d).select(F.col("id").alias("image_id"), "width", "height")
+    return P.exemplar_tiles(_scenes(spark, d).select("image_id", "ann_id", "x0", "y0", "x1", "y1"), sizes, P.SweepParams())
 
 
 def rle_roundtrip(spark, d):
@@ -277,8 +281,8 @@ def queries() -> dict[str, Query]:
         ewma_pace, normalize_prompts, dedup_seed_groups, retract_antijoin, rle_roundtrip,
         sweep_events, sweep_survivors, cluster_ambiguous, exemplar_cover, despeckle, stream_fold,
     ]
-    return {"eval_report_grouping_sets": eval_report} | {f.__name__: f for f in named}
+    return {"eval_report_grouping_sets": eval_report} | {f.__name__: f for f in named} | catalogue_masks.QUERIES | catalogue_review.QUERIES | catalogue_sweep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | catalogue_masks.ORACLES | catalogue_review.ORACLES | catalogue_sweep.ORACLES

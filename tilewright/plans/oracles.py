@@ -85,7 +85,42 @@ folded AS (
   FROM items)
 """
 
+_SCENES = """,
+sc AS (SELECT p.image_id, p.ann_id, p.score, p.x0::DOUBLE AS x0, p.y0::DOUBLE AS y0, least(p.x0 + p.w, i.width)::DOUBLE AS x1, least(p.y0 + p.h, i.height)::DOUBLE AS y1, i.width::DOUBLE AS width, i.height::DOUBLE AS height
+  FROM fx_pred p JOIN fx_images i ON i.id = p.image_id WHERE p.x0 < i.width AND p.y0 < i.height)
+"""
+
 ORACLES: dict[str, str] = {
+    "cluster_ambiguous": FX + _SCENES + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ann_id) - 1 AS rank FROM sc),
+near AS (
+  SELECT a.image_id, a.rank, list({'ranks': [b.rank], 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1} ORDER BY b.rank) AS near FROM rk a JOIN rk b ON a.image_id = b.image_id AND a.rank < b.rank
+   AND greatest(b.x0 - a.x1, a.x0 - b.x1, b.y0 - a.y1, a.y0 - b.y1) <= 4 GROUP BY a.image_id, a.rank),
+items AS (
+  SELECT r.image_id, list({'rank': r.rank, 'seed': {'ranks': [r.rank], 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}, 'near': coalesce(n.near, []), 'groups': []::BIGINT[][]} ORDER BY r.rank) AS v,
+         any_value({'rank': -1::BIGINT, 'seed': {'ranks': [r.rank], 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}, 'near': coalesce(n.near, []), 'groups': []::BIGINT[][]}) AS zero
+  FROM rk r LEFT JOIN near n ON n.image_id = r.image_id AND n.rank = r.rank GROUP BY r.image_id),
+folded AS (
+  SELECT image_id, list_reduce(list_concat([zero], v), lambda acc, e: CASE WHEN list_contains(flatten(acc.groups), e.rank) THEN acc ELSE {'rank': acc.rank, 'seed': acc.seed, 'near': acc.near, 'groups': list_concat(acc.groups, [
+    list_reduce(list_concat([e.seed], list_filter(e.near, lambda n: NOT list_contains(flatten(acc.groups), n.ranks[1]))), lambda h, n:
+      CASE WHEN greatest(h.x1, n.x1) - least(h.x0, n.x0) <= 204.8 AND greatest(h.y1, n.y1) - least(h.y0, n.y0) <= 204.8
+      THEN {'ranks': list_concat(h.ranks, n.ranks), 'x0': least(h.x0, n.x0), 'y0': least(h.y0, n.y0), 'x1': greatest(h.x1, n.x1), 'y1': greatest(h.y1, n.y1)} ELSE h END).ranks])} END).groups AS groups FROM items),
+members AS (SELECT image_id, g, unnest(ranks) AS rank FROM (SELECT image_id, unnest(range(1, len(groups) + 1)) AS g, unnest(groups) AS ranks FROM folded)),
+named AS (SELECT m.image_id, m.g, r.ann_id, min(r.ann_id) OVER (PARTITION BY m.image_id, m.g) AS lowest FROM members m JOIN rk r ON r.image_id = m.image_id AND r.rank = m.rank)
+SELECT image_id, ann_id, dense_rank() OVER (PARTITION BY image_id ORDER BY lowest) - 1 AS cluster FROM named""",
+    "exemplar_cover": FX + _SCENES + """,
+t AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, least(greatest(round_even(greatest(x1 - x0, y1 - y0) / 0.25::DOUBLE, 0), 1), least(width, height)) AS side FROM sc),
+p AS (SELECT *, greatest(0, least(round_even(cx - side / 2, 0), width - side)) AS tx, greatest(0, least(round_even(cy - side / 2, 0), height - side)) AS ty FROM t),
+f AS (SELECT a.image_id, a.ann_id, any_value(a.cx) AS cx, any_value(a.cy) AS cy, any_value(a.tx) AS tx, any_value(a.ty) AS ty, any_value(a.side) AS side,
+  count(*) FILTER (b.cx BETWEEN a.cx - a.side / 2 AND a.cx + a.side / 2 AND b.cy BETWEEN a.cy - a.side / 2 AND a.cy + a.side / 2) AS density,
+  bool_or(b.x0 >= a.tx + a.side * 0.05::DOUBLE AND b.y0 >= a.ty + a.side * 0.05::DOUBLE AND b.x1 <= a.tx + a.side - a.side * 0.05::DOUBLE AND b.y1 <= a.ty + a.side - a.side * 0.05::DOUBLE) AS useful
+  FROM p a JOIN p b ON a.image_id = b.image_id GROUP BY a.image_id, a.ann_id),
+items AS (SELECT image_id, list({'cx': cx, 'cy': cy, 'tx': tx, 'ty': ty, 'side': side, 'tiles': []::STRUCT(tx DOUBLE, ty DOUBLE, side DOUBLE)[]} ORDER BY density DESC, ann_id) AS v FROM f WHERE useful GROUP BY image_id),
+folded AS (
+  SELECT image_id, list_reduce(list_concat([{'cx': -1::DOUBLE, 'cy': -1::DOUBLE, 'tx': 0::DOUBLE, 'ty': 0::DOUBLE, 'side': 0::DOUBLE, 'tiles': []::STRUCT(tx DOUBLE, ty DOUBLE, side DOUBLE)[]}], v), lambda acc, e:
+    CASE WHEN len(list_filter(acc.tiles, lambda k: e.cx BETWEEN k.tx AND k.tx + k.side AND e.cy BETWEEN k.ty AND k.ty + k.side)) > 0 THEN acc
+    ELSE {'cx': acc.cx, 'cy': acc.cy, 'tx': acc.tx, 'ty': acc.ty, 'side': acc.side, 'tiles': list_concat(acc.tiles, [{'tx': e.tx, 'ty': e.ty, 'side': e.side}])} END).tiles AS tiles FROM items)
+SELECT image_id, shot, k.tx AS x0, k.ty AS y0, k.tx + k.side AS x1, k.ty + k.side AS y1 FROM (SELECT image_id, unnest(range(0, len(tiles))) AS shot, unnest(tiles) AS k FROM folded)""",
     "eval_matches": FX + "SELECT image_id, category, pred AS pred_id, ref AS ref_id, iou FROM fx_matches",
     "eval_outcomes": FX + _OUTCOMES + "SELECT image_id, category, kind, pred AS pred_id, ref AS ref_id, iou, area FROM fx_found",
     "eval_report_grouping_sets": FX + _OUTCOMES + f""",
@@ -159,7 +194,9 @@ FROM fx_categories c JOIN mapped m ON m.id = c.id WHERE c.name <> 'signup'""",
     "upsert_latest": FX + "SELECT image_id, prompt, max(seq) AS seq, min(seq) AS position, arg_max(completed, seq) AS completed FROM fx_searches GROUP BY image_id, prompt",
     "upsert_replace": FX + """,
 l AS (SELECT seq % 2 AS side, image_id, prompt, max(seq) AS seq, min(seq) AS position, arg_max(completed, seq) AS completed FROM fx_searches GROUP BY ALL)
-SELECT image_id, prompt, seq, position, completed FROM l WHERE side = 1 OR NOT EXISTS (SELECT 1 FROM l n WHERE n.side = 1 AND n.image_id = l.image_id AND n.prompt = l.prompt)""",
+SELECT l.image_id, l.prompt, l.seq, CASE WHEN l.side = 1 THEN coalesce(o.position, l.position) ELSE l.position END AS position, l.completed
+FROM l LEFT JOIN l o ON l.side = 1 AND o.side = 0 AND o.image_id = l.image_id AND o.prompt = l.prompt
+WHERE l.side = 1 OR NOT EXISTS (SELECT 1 FROM l n WHERE n.side = 1 AND n.image_id = l.image_id AND n.prompt = l.prompt)""",
     "neighbors_lag_lead": FX + """SELECT (id % 4)::BIGINT AS directory, file_name, (row_number() OVER w - 1)::INT AS position, lag(file_name) OVER w AS previous, lead(file_name) OVER w AS next
  FROM fx_images WINDOW w AS (PARTITION BY id % 4 ORDER BY lower(file_name), file_name)""",
     "top_rows_per_label": FX + """SELECT image_id, category, ann_id, rank, greatest(n - 5, 0) AS hidden FROM (
@@ -171,8 +208,10 @@ full_counts AS (SELECT i.id AS image_id, c.name AS category, count(r.ann_id) AS
 SELECT image_id, category, n, n = 0 OR (c * n - s) * (c * n - s) > 4 * (c * q - s * s) AS flag FROM (SELECT *, count(*) OVER l AS c, sum(n) OVER l AS s, sum(n * n) OVER l AS q FROM full_counts WINDOW l AS (PARTITION BY category))""",
     "tri_state_filter": FX + "SELECT image_id FROM fx_ref WHERE h > 60 GROUP BY image_id HAVING count(*) FILTER (category = 'view') > 0 AND count(*) FILTER (category = 'error') = 0",
     "dominant_label": FX + "SELECT image_id, arg_max(category, (n, -f)) AS category, max(n) AS n FROM (SELECT image_id, category, count(*) AS n, min(ann_id) AS f FROM fx_ref GROUP BY ALL) GROUP BY image_id",
-    "ewma_pace": """SELECT user_id, list_reduce(list(value ORDER BY event_id) FILTER (value > 0), lambda a, x, i: round(0.3::DOUBLE * x + 0.7::DOUBLE * CASE WHEN i = 2 THEN round(a, 3) ELSE a END, 3)) AS pace FROM (SELECT user_id, event_id, value::DOUBLE AS value FROM events) GROUP BY user_id""",
-    "normalize_prompts": r"SELECT doc_id, sha256(regexp_replace(lower(trim(regexp_replace(text, '[^ -~]', 'x', 'g'))), '\s+', ' ', 'g')) AS prompt_sha256 FROM documents",
+    "ewma_pace": """SELECT user_id, CASE WHEN n = 1 THEN floor(raw * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE ELSE raw END AS pace FROM (SELECT user_id, list_reduce(list(value ORDER BY event_id) FILTER (value > 0),
+  lambda a, x, i: floor((0.3::DOUBLE * x + 0.7::DOUBLE * CASE WHEN i = 2 THEN floor(a * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE ELSE a END) * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE) AS raw,
+  count(*) FILTER (value > 0) AS n FROM (SELECT user_id, event_id, value::DOUBLE AS value FROM events) GROUP BY user_id)""",
+    "normalize_prompts": r"SELECT doc_id, sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS prompt_sha256 FROM documents",
     "dedup_seed_groups": FX + _SEEDS + "SELECT image_id, category, m.id AS ann_id, m.seed AS seed FROM (SELECT image_id, category, unnest(g) AS m FROM folded) WHERE m.id >= 0",
     "retract_antijoin": "SELECT event_id, user_id, event_type FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'error' AND r.event_id - 1 = e.event_id)",
 }

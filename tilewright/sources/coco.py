@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from tilewright.operators.runs import checked_counts
+from tilewright.sources.tables import write_atomic
 
 SCHEMA = """images array<struct<id: bigint, file_name: string, width: int, height: int>>,
 categories array<struct<id: bigint, name: string, supercategory: string>>,
@@ -35,29 +38,43 @@ def find_dataset(spark: SparkSession, directory: str) -> str | None:
 
 
 def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables images, categories and annotations; ValueError for a malformed document."""
-    whole = spark.read.schema(SCHEMA + ", _bad string").json(path, multiLine=True, columnNameOfCorruptRecord="_bad").cache()
-    if whole.isEmpty() or not whole.where("_bad IS NOT NULL OR images IS NULL OR annotations IS NULL OR categories IS NULL").isEmpty():
+    """Tables images, categories and annotations; ValueError for a malformed document.
+
+    Annotations get ``rle`` (counts, height, width) and, for compressed masks, ``runs``:
+    run lengths, background first.  Polygons stay JSON; both are null for them.
+    """
+    whole = spark.read.schema(SCHEMA + ", _bad string").json(path, multiLine=True, columnNameOfCorruptRecord="_bad")
+    bad = whole.select(F.col("_bad").isNotNull() | F.col("images").isNull() | F.col("annotations").isNull() | F.col("categories").isNull()).collect()  # a row per document
+    if not bad or any(r[0] for r in bad):
         raise ValueError(f"not an annotation dataset: {path}")
     out = {k: whole.select(F.posexplode(k).alias("ord", "row")).select("ord", "row.*") for k in ("images", "categories")}
     rows = whole.select(F.posexplode("annotations").alias("ord", "row")).select("ord", "row.*")
     counts = F.get_json_object("segmentation", "$.counts")
     size = F.from_json(F.get_json_object("segmentation", "$.size"), "array<int>")
     rle = F.when(counts.isNotNull() & ~counts.startswith("["), F.struct(counts.alias("counts"), size[0].alias("height"), size[1].alias("width")))
-    out["annotations"] = rows.withColumn("rle", rle)  # null: a polygon, kept as its JSON
+    out["annotations"] = with_runs(rows.withColumn("rle", rle))
     return out
 
 
+def with_runs(annotations: DataFrame) -> DataFrame:
+    """``runs``: the decoded run lengths of every compressed mask, checked against its size; ValueError for one that does not fit."""
+    schema = StructType([*annotations.schema.fields, StructField("runs", ArrayType(LongType()))])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if r is None else checked_counts(r["counts"].encode(), r["height"], r["width"]) for r in batch.column("rle").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "runs"])
+
+    return annotations.mapInArrow(decode, schema)
+
+
 def write_document(tables: dict[str, DataFrame], path: str) -> None:
-    """One JSON document, written beside its place and moved there; meant for documents that fit a driver."""
-    body = {k: [{n: v for n, v in json.loads(r).items()} for r, in t.orderBy("ord").select(F.to_json(F.struct(*[c for c in t.columns if c not in ("ord", "rle")]))).collect()] for k, t in tables.items()}
+    """One JSON document, written beside its place and moved there, in any store; meant for documents that fit a driver."""
+    body = {k: [json.loads(r) for r, in t.orderBy("ord").select(F.to_json(F.struct(*[c for c in t.columns if c not in ("ord", "rle", "runs")]))).collect()] for k, t in tables.items()}
     for row in body.get("annotations", ()):
         if isinstance(row.get("segmentation"), str):
             row["segmentation"] = json.loads(row["segmentation"])
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".", suffix=".tmp")
-    with os.fdopen(handle, "w") as f:
-        json.dump(body, f)
-    os.replace(temporary, path)
+    write_atomic(next(iter(tables.values())).sparkSession, path, json.dumps(body))
 
 
 def list_images(spark: SparkSession, directory: str, masks: bool = False) -> DataFrame:
