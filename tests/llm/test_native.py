@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilewright.llm import mixing as M
 from tilewright.llm import sharding as S
 from tilewright.llm import toolcalls as T
+from tilewright.llm.common import components
 
 
 def check_shards(rows, shards):
@@ -29,7 +30,8 @@ def test_ring_follows_a_sequential_walk(spark):
     rows = spark.range(203).select(F.col("id").alias("doc_id"))
     got = {r.doc_id: (r.shard, r.slot) for r in S.ring_shards(rows, F.col("doc_id"), shards, virtual_nodes=6, buckets=buckets, seed=seed).collect()}
     keys = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(S.CELLS)).alias("cell"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("turn")).collect()
-    nodes = spark.range(shards * 6).select((F.col("id") % shards).alias("s"), F.pmod(F.xxhash64("id", F.lit("node"), F.lit(seed)), F.lit(S.CELLS)).alias("cell")).collect()
+    shard, node = F.floor(F.col("id") / 6).cast("int"), (F.col("id") % 6).cast("int")
+    nodes = spark.range(shards * 6).select(shard.alias("s"), F.pmod(F.xxhash64(shard, node, F.lit(seed)), F.lit(S.CELLS)).alias("cell")).collect()
     room, taken, want, rest = {s: 203 // shards + (s < 203 % shards) for s in range(shards)}, Counter(), {}, keys
     while rest:
         spots = sorted((n.cell, n.s) for n in nodes if taken[n.s] < room[n.s])
@@ -53,6 +55,27 @@ def test_ring_moves_few_rows(spark):
     assert sum(a[k] != b[k] for k in a) < 0.1 * len(a)
 
 
+def test_ring_moves_rows_to_a_new_shard(spark):
+    """From 16 to 17 shards every shard gives up a 17th; hard capacities pass some rows on, far fewer than dealing anew would."""
+    rows = lambda n: {r.doc_id: r.shard for r in S.ring_shards(spark.range(3400).select(F.col("id").alias("doc_id")), F.col("doc_id"), n).collect()}
+    a, b = rows(16), rows(17)
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert sum(v == 16 for v in b.values()) == 200 and 1 / 17 <= moved < 0.3
+
+
+def test_rows_without_ids_spread(documents):
+    docs = documents([(None, f"text {i}") for i in range(160)])
+    rows = S.shard_documents(docs, 16).collect()
+    check_shards(rows, 16)
+
+
+def test_components_of_a_long_path(spark):
+    """A path of 10,000 nodes over many partitions: no round limit, and plans stay small."""
+    edges = spark.range(9_999, numPartitions=32).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(32, F.xxhash64("a"))
+    found = components(edges, "a", "b")
+    assert found.count() == 10_000 and found.select("label").distinct().collect() == [(0,)]
+
+
 def test_shards_of_odd_rows(odd, empty):
     rows = S.shard_documents(odd, 4).collect()
     assert len(rows) == 12
@@ -171,6 +194,35 @@ def test_long_graphs_of_two_needs(spark, monkeypatch, calls, one_task):
     assert {k for k, r in got.items() if r.status == "cycle"} == {"p", "q"}
 
 
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_links_equal_brute_force(spark, monkeypatch, one_task):
+    """Random graphs with missing needs, cycles, repeats, orphans and early results."""
+    monkeypatch.setattr(T, "ONE_TASK_LINKS", one_task)
+    rng = random.Random(7)
+    names = [f"k{i}" for i in range(45)]
+    calls = [(n, rng.randint(0, 90), "add", '{"a": 1}', rng.sample([*names[: i + (rng.random() < 0.15) * 3], "gone"], rng.choice((0, 0, 1, 1, 2))) if i > 1 else [], "") for i, n in enumerate(names)]
+    calls[10] = (*calls[10][:4], ["k20", "k1"], "")
+    calls[20] = (*calls[20][:4], ["k10"], "")
+    results = [(n, rng.randint(0, 120), "r", "") for n in [*names, "lost"] if rng.random() < 0.7]
+    got = linked(spark, calls, results)
+    needs = {c[0]: {n for n in c[4] if n in names} for c in calls}
+    depth = {}
+    while True:
+        ready = {c: max((depth[n] + 1 for n in needs[c]), default=0) for c in needs if c not in depth and all(n in depth for n in needs[c])}
+        if not ready:
+            break
+        depth |= ready
+    answered = {r[0]: r[1] for r in results}
+    for c in calls:
+        want = "ok" if c[0] in answered else "missing_result"
+        want = "result_before_call" if answered.get(c[0], 999) < c[1] else want
+        want = "unmet_need" if "gone" in c[4] else want
+        want = "cycle" if c[0] not in depth else want
+        assert (got[c[0]].depth, got[c[0]].status) == (depth.get(c[0]), want)
+    assert set(got) == set(names) | ({"lost"} if "lost" in answered else set()) and all(got[k].status == "orphan_result" for k in got if k not in needs)
+    assert 0 < len(depth) < len(names)
+
+
 def test_empty_chat(spark, data):
     rows = spark.read.parquet(f"{data}/conversations.parquet")
     assert T.link_calls(*T.chat_calls(rows.limit(0)), T.CHAT_SCHEMAS).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from tests.llm.test_native import check_shards, naive_rake
 from tests.llm.test_text import WORD, naive_components, prior_rates
+from tilewright.llm import common as C
 from tilewright.llm.common import unit_hash
 from tilewright.llm.mixing import DEFAULT_MARGINALS, TOPIC_MARKERS
 from tilewright.llm.quality import BAD_RATE
@@ -112,6 +113,24 @@ def test_repeated_rows_leave_unlinked_ones(spark, data, documents):
     assert got == sorted([(3, text), (3, apart[0]), (5, apart[1]), (5, apart[2]), (0, apart[3]), (0, "yes " + apart[0][::-1])])
 
 
+def test_rows_fall_by_themselves(spark, data, documents):
+    """Rows that share an id, or have none, are judged by their own host and text."""
+    good = " ".join(f"{a}{b}x" for a in "abcdefghij" for b in "klmnopqrst")
+    item = spark.read.parquet(f"{data}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    docs = documents([(None, good), (None, "short"), (7, good + " end"), (7, "short"), *((20 + i, f"{good} {i}") for i in range(60))])
+    kept = [(r.doc_id, r.text) for r in P.quality(spark, docs, data).collect()]
+    assert (None, good) in kept and (7, good + " end") in kept and not any(t == "short" for _, t in kept) and len(kept) == 62
+    docs = documents([(None, good), (None, f"{good} {item} end"), (8, good), (8, f"lead {item}")])
+    assert sorted((r.doc_id or 0, r.text) for r in P.benchmark_free(spark, docs, data).collect()) == [(0, good), (8, good)]
+
+
+def test_stages_leave_only_their_result(spark, data):
+    mark = C.written(spark)
+    P.run(spark, data).count()
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in C._written[spark.sparkContext.applicationId][mark:]]
+    assert names[:4] == ["quality", "near_duplicates", "benchmark_free", "mixture"] and set(names[4:]) <= {"step"}
+
+
 def test_columns_stay(spark, data, odd):
     for _, stage in P.STAGES[:-1]:
         assert set(stage(spark, odd, data).columns) >= {"doc_id", "text", "lang", "source", "n_chars"}

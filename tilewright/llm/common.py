@@ -36,28 +36,52 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that stash has written, by application: release() removes them.
+_written: dict[str, list[str]] = {}
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder.
+
+    What is read back has the statistics of its files: sizes estimated over many rounds
+    of joins would grow without bound, as those of a checkpoint do.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)
+
+
+def written(spark: SparkSession) -> int:
+    """How many stashed tables this application holds: a mark for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, first: int, last: int) -> None:
+    """Remove the stashed tables written from mark ``first`` to mark ``last``; nothing that is still to be read may come from them."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths[first:last]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    del paths[first:last]
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a step."""
+    return stash(df, "step")
 
 
 ROWS_IN_PARTITION = 100_000
 
 
 def settle_narrow(df: DataFrame) -> DataFrame:
-    """A checkpoint in as few partitions as its counted rows need: small tables then join and group without shuffles."""
+    """A step's table in as few partitions as its counted rows need: small tables then join and group without shuffles."""
     done = settle(df)
     return done.coalesce(max(1, ceil(done.count() / ROWS_IN_PARTITION)))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: for wide rows such as texts."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null counts as no text."""
     parts = F.split(F.coalesce(text, F.lit("")), SEPARATOR_RUN)
@@ -107,7 +131,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     node to its smallest neighbour, jumps along the hooks to their roots and contracts
     the edges to distinct pairs of different roots, which at least halves the nodes.
     Minima are combined before shuffles, joins are equi-joins that skew handling can
-    split, and every round is checkpointed.
+    split, and every round is written, so that statistics start anew.
     """
     shrink = lambda e: settle_narrow(e.where("u < v").distinct().mapInArrow(_forest, "u long, v long"))
     pairs = shrink(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))

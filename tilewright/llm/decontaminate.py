@@ -11,7 +11,10 @@ an item in capitals, or one made mostly of numbers or names, meets its own copie
 Scale: one Arrow pass over the documents.  Where the benchmark's window hashes number
 at most ``FILTER_WINDOWS`` (counted first), they go to the workers and only windows
 that join leave the pass; a larger benchmark joins by shuffle without that filter,
-with the same result.  No other side is broadcast.
+with the same result.  No side of a join is broadcast by hint.  Equal items count as one.
+Candidate pairs come from an item's rarest windows alone: a document that holds the
+wanted share of an item's windows holds one of them, so phrases that many items share
+make no pairs.  Slots are compared as rows and sums, never as one list of a document.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import settle, table
@@ -176,15 +180,17 @@ def windows(rows: DataFrame, key: str, sizes: list[int], wanted: np.ndarray | No
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """Pairs (key, item_id) with a joined window: matched and all windows of the item, slot consistency, verdict.
+    """Pairs (key, item_id) with enough joined windows: matched and all windows of the item, slot consistency, verdict.
 
     A pair is contaminated if at least ``share`` of the item's windows occur in the
     document and their slots map one to one, at one offset, at offsets near each other or
-    in the whole document.  The figures are those of the best such occurrence.  Items shorter than a window match as one
+    in the whole document.  The figures are those of the best such occurrence.  Items of
+    equal text are one item of the smallest id, with ``copies``.  Items shorter than a window match as one
     window of their own length; items and documents without words match nothing.
     """
-    spark = docs.sparkSession
-    short = windows(benchmark, "item_id", list(range(1, WINDOW + 1)), whole=True)
+    once = benchmark.groupBy(F.col("text").cast("string").alias("text")).agg(F.min("item_id").alias("item_id"), F.countDistinct("item_id").alias("copies"))
+    once = settle(once)
+    short = windows(once, "item_id", list(range(1, WINDOW + 1)), whole=True)
     items = settle(short.withColumnsRenamed({"_row": "item_id", "at": "item_at", "slots": "item_slots"}).drop("total"))
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
     if not sizes:
@@ -195,44 +201,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str, share: float
         wanted = np.sort(np.array([r["hash"] for r in known.collect()], np.int64))
         if not len(wanted):
             wanted = np.array([-1], np.int64)
-    item_sizes = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
+    window = ["hash", "size", "exact"]
     texts = docs.select(F.struct(F.col(key).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("body")).alias("_key"), "text")
-    hits = windows(texts, "_key", sizes, wanted).select("_row", "hash", "size", "exact", "slots", "at")
-    joined = hits.join(items.hint("merge") if wanted is None else F.broadcast(items), ["hash", "size", "exact"])
-    joined = joined.withColumn("slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")))  # the words are equal
+    hits = settle(windows(texts, "_key", sizes, wanted).select("_row.doc", "_row.body", *window, "slots", "at"))
+
+    # an item's places by how many items share their windows: the rarest that no enough-matching document can avoid
+    shared = items.join(items.groupBy(*window).agg(F.countDistinct("item_id").alias("held")), window)
+    places = shared.groupBy("item_id", "item_at").agg(F.max("held").alias("held"))
+    item_sizes = places.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy("held", "item_at"))
+    rare = places.withColumn("rank", rank).join(item_sizes, "item_id").where(F.col("rank") <= F.col("item_windows") - F.ceil(F.col("item_windows") * share) + 1)
+    rare = items.join(rare.select("item_id", "item_at"), ["item_id", "item_at"]).select("item_id", *window)
+    pairs = hits.join(rare, window).select(F.col("doc").alias("_doc"), "item_id").distinct()
+    held = pairs.join(items, "item_id")
+    same = [F.col(f"h.{c}") == F.col(f"w.{c}") for c in window]
+    joined = held.alias("w").join(hits.alias("h"), [F.col("w._doc").eqNullSafe(F.col("h.doc")), *same]).select(
+        "_doc", "item_id", "item_at", "item_slots", "body", "at", F.when(F.col("w.exact"), F.col("item_slots")).otherwise(F.col("slots")).alias("slots")  # exact: the words are equal
+    )
     # an occurrence: one offset, or offsets that lie near each other, as words put in or left out move them
     offset = F.col("at") - F.col("item_at")
     near = lambda shift: F.floor((offset + shift) / (2 * WINDOW)).cast("long")
-    body = F.col("_row.body")
-    places = [(0, None, None), (1, body, offset.cast("long")), (2, body, near(0)), (3, body, near(WINDOW))]
-    place = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(b).cast("long").alias("body"), F.lit(o).cast("long").alias("spot")) for k, b, o in places]))
-    # pairs of values behind the same placeholder, as distinct sets: bounded by the item's own length
-    pairs = (
-        joined.select(F.col("_row.doc").alias("_doc"), "item_id", "item_at", "item_slots", "slots", place.alias("_place"))
-        .groupBy("_doc", "item_id", "_place")
-        .agg(
-            F.countDistinct("item_at").alias("matched"),
-            F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-        )
-        .join(item_sizes, "item_id")
+    body = F.col("body")
+    spots = [(0, None, None), (1, body, offset.cast("long")), (2, body, near(0)), (3, body, near(WINDOW))]
+    place = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(b).cast("long").alias("body"), F.lit(o).cast("long").alias("spot")) for k, b, o in spots]))
+    met = joined.select("_doc", "item_id", "item_at", F.arrays_zip("item_slots", "slots").alias("zip"), place.alias("_place"))
+    by = ["_doc", "item_id", "_place"]
+    matched = met.groupBy(*by).agg(F.countDistinct("item_at").alias("matched"))
+    slots = met.select(*by, F.explode("zip").alias("p")).select(*by, "p.item_slots", "p.slots").distinct()
+    values = slots.groupBy(*by).agg(
+        F.count("*").alias("n"), F.countDistinct("item_slots").alias("ours"), F.countDistinct("slots").alias("theirs"), F.bool_and(F.col("item_slots") == F.col("slots")).alias("plain")
     )
-    distinct = lambda field: F.size(F.array_distinct(F.col(f"pairs.{field}")))
-    consistent = (distinct("item_slots") == F.size("pairs")) & (distinct("slots") == F.size("pairs"))
-    judged = pairs.select(
+    both = matched.alias("m").join(values.alias("v"), [F.col("m._doc").eqNullSafe(F.col("v._doc")), F.col("m.item_id") == F.col("v.item_id"), F.col("m._place").eqNullSafe(F.col("v._place"))], "left")
+    agree = F.coalesce((F.col("ours") == F.col("n")) & (F.col("theirs") == F.col("n")), F.lit(True))
+    judged = both.select("m._doc", "m.item_id", "matched", agree.alias("agree"), F.coalesce("plain", F.lit(True)).alias("plain")).join(item_sizes, "item_id").select(
         "_doc",
         "item_id",
         "item_windows",
         F.struct(
-            (consistent & (F.col("matched") >= share * F.col("item_windows"))).alias("contaminated"),
+            (F.col("agree") & (F.col("matched") >= share * F.col("item_windows"))).alias("contaminated"),
             F.col("matched").cast("long").alias("matched"),
-            consistent.alias("slots_agree"),
-            (~F.exists(F.col("pairs"), lambda p: p["item_slots"] != p["slots"])).alias("plain"),
+            F.col("agree").alias("slots_agree"),
+            "plain",
         ).alias("best"),
     )
     best = judged.groupBy("_doc", "item_id").agg(F.max("item_windows").alias("item_windows"), F.max("best").alias("best"))
-    return best.select(
+    return best.join(once.select("item_id", "copies"), "item_id").select(
         F.col("_doc").alias(key),
         "item_id",
+        "copies",
         "best.matched",
         "item_windows",
         "best.slots_agree",
@@ -246,14 +262,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
 
     Counts cover contaminating items; without any they are 0 and null.  Null and empty
     texts are clean; repeated doc_ids share one verdict, which any of their rows or all
-    of them together can bring.
+    of them together can bring.  Without items, or without documents, nothing is
+    contaminated.  Extra columns, clashing names included, are not used.
     """
     found = (
         contamination(docs, benchmark, "doc_id", share)
         .where("contaminated")
         .groupBy("doc_id")
         .agg(
-            F.count("*").alias("n_items"),
+            F.sum("copies").alias("n_items"),
             F.min("item_id").alias("first_item"),
             F.max("matched").alias("matched"),
             F.bool_or("reparameterised").alias("reparameterised"),
@@ -262,7 +279,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     )
     return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left").select(
         "doc_id",
-        F.col("_found").isNotNull().alias("contaminated"),
+        F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         "first_item",
         F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),

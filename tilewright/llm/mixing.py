@@ -8,11 +8,13 @@ exceeds one but in the scarcest cells, which are clipped there while they hold a
 
 The fit runs on the cell table alone, whose size is the number of distinct
 combinations, not of documents.  Up to ``ONE_TASK_CELLS`` cells (counted first) are
-raked in one task without shuffles; more keep Spark's partitioning of the windows.
+raked in one task without shuffles; more keep Spark's partitioning, by one dimension's
+value a step.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -66,25 +68,27 @@ def rake(cells: DataFrame, marginals: Sequence[Marginal], tolerance: float = 1e-
 
     Targets of values without tokens are dropped and the others scaled up.  Where the
     marginals contradict each other (a value present in one cell only), the last sweep's
-    weights are returned; the last marginal then holds exactly.
+    weights are returned with a warning; the last marginal then holds exactly.  Sums over
+    all cells are aggregates of one row; windows run over one dimension's value at a time.
     """
     names = [m.column for m in marginals]
-    total = F.sum("tokens").over(W.partitionBy())
-    out = cells.withColumn("weight", F.col("tokens") / total)
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    out = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for m in marginals:
         by = W.partitionBy(m.column)
-        share = F.sum("tokens").over(by) / total
+        share = F.sum("tokens").over(by) / F.lit(total)
         if m.shares is None:
             goal = F.pow(share, F.lit(m.temper))
         else:
             named = F.create_map(*[F.lit(x) for k, v in m.shares.items() for x in (k, float(v))])
-            loose = F.sum(F.when(named[F.col(m.column)].isNull(), F.col("tokens"))).over(W.partitionBy()) / total
-            goal = F.coalesce(named[F.col(m.column)], F.least(F.lit(m.rest), loose) * share / loose)
+            unlisted = cells.where(~F.coalesce(F.col(m.column).isin(list(m.shares)), F.lit(False))).agg(F.sum("tokens")).first()[0] or 0
+            loose = unlisted / total
+            goal = F.coalesce(named[F.col(m.column)], F.lit(min(m.rest, loose) / loose if loose else 0.0) * share)
         out = out.withColumn(f"_share_{m.column}", F.col("tokens") / F.sum("tokens").over(by)).withColumn(f"_goal_{m.column}", goal)
-    for m in marginals:  # a value's goal counts once, spread over its cells
-        spread = F.sum(F.col(f"_goal_{m.column}") * F.col(f"_share_{m.column}")).over(W.partitionBy())
-        out = out.withColumn(f"_goal_{m.column}", F.col(f"_goal_{m.column}") / spread)
     out = settle(out)
+    # a value's goal counts once, spread over its cells
+    spread = out.agg(*[F.sum(F.col(f"_goal_{n}") * F.col(f"_share_{n}")).alias(n) for n in names]).first()
+    out = out.withColumns({f"_goal_{n}": F.col(f"_goal_{n}") / F.lit(spread[n]) for n in names})
     swept = 0
     while True:
         for _ in range(SWEEPS_PER_PLAN):
@@ -96,8 +100,32 @@ def rake(cells: DataFrame, marginals: Sequence[Marginal], tolerance: float = 1e-
         for m in marginals:
             gaps = gaps.withColumn(f"_gap_{m.column}", F.abs(F.sum("weight").over(W.partitionBy(m.column)) - F.col(f"_goal_{m.column}")))
         worst = gaps.agg(F.max(F.greatest(*[F.col(f"_gap_{n}") for n in names], F.lit(0.0)))).first()[0]
-        if worst is None or worst <= tolerance or swept >= max_sweeps:
+        if worst is None or worst <= tolerance:
             return out.select(*names, "tokens", "weight")
+        if swept >= max_sweeps:
+            warnings.warn(f"the marginals contradict each other: one misses its target by {worst:.2g}", stacklevel=2)
+            return out.select(*names, "tokens", "weight")
+
+
+def common_scale(rated: DataFrame, keep_share: float) -> float:
+    """Factor from a cell's ratio of weight to tokens to its keep probability.
+
+    Cells clip at one from the largest ratio on while they hold at most CLIPPED_SHARE of
+    all tokens; what they cannot give the others take over.  Ratios are summed in steps
+    of a 64th of a power of two first, at most a few thousand rows, so no task sees all cells.
+    """
+    step = F.floor(F.log2("_ratio") * 64)
+    steps = sorted(rated.groupBy(step.alias("step")).agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight"), F.max("_ratio").alias("top")).collect(), key=lambda r: -r["step"])
+    total, weight = sum(r["tokens"] for r in steps), sum(r["weight"] for r in steps)
+    goal = keep_share * total
+    held, taken, scale = 0, 0.0, goal
+    for r in steps:
+        if held + r["tokens"] > CLIPPED_SHARE * total:
+            return min(scale, 1 / r["top"])
+        held, taken = held + r["tokens"], taken + r["weight"]
+        if weight > taken:
+            scale = max(scale, (goal - held) / (weight - taken))
+    return scale
 
 
 def mix(docs: DataFrame, marginals: Sequence[Marginal] = DEFAULT_MARGINALS, keep_share: float = 0.8, seed: int = 11) -> DataFrame:
@@ -120,22 +148,10 @@ def mix(docs: DataFrame, marginals: Sequence[Marginal] = DEFAULT_MARGINALS, keep
     if cells.count() <= ONE_TASK_CELLS:
         cells = settle(cells.coalesce(1).sortWithinPartitions(*names))
     fitted = rake(cells, marginals)
-    whole = W.partitionBy()
-    ratio = F.col("weight") / F.col("tokens")
-    total = F.sum("tokens").over(whole)
-    falling = W.orderBy(F.desc("_ratio")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        fitted.withColumn("_ratio", ratio)
-        .withColumn("_held", F.sum("tokens").over(falling))
-        .withColumn("_weight_left", F.sum("weight").over(whole) - F.sum("weight").over(falling))
-        .withColumn("_clipped", F.col("_held") <= CLIPPED_SHARE * total)
-    )
-    # what clipped cells cannot give the others take over: of the scales by how many are clipped the largest is right
-    goal = F.lit(keep_share) * total
-    filled = F.greatest(goal, F.max(F.when(F.col("_clipped"), (goal - F.col("_held")) / F.col("_weight_left"))).over(whole))
-    scale = F.least(filled, 1 / F.max(F.when(~F.col("_clipped"), F.col("_ratio"))).over(whole))
+    rated = fitted.withColumn("_ratio", F.col("weight") / F.col("tokens"))
+    scale = common_scale(rated, keep_share)
     rates = settle(
-        ranked.withColumn("_rate", F.least(F.col("_ratio") * scale, F.lit(1.0)))
+        rated.withColumn("_rate", F.least(F.col("_ratio") * F.lit(scale), F.lit(1.0)))
         .select(*[F.col(n).alias(f"_cell_{n}") for n in names], F.round("_rate", 9).alias("_rate"))
     )
     matched = rows.join(F.broadcast(rates) if _bounded(rates) else rates, [key[n] == F.col(f"_cell_{n}") for n in names], "left")

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import table
 
 ROUNDS = 10
+#: Setting of the session that holds the query's key.
+KEY_SETTING = "spark.tilewright.pii.key"
 #: Used where no key is given: results are reproducible, not secret.
 DEFAULT_KEY = b"tilewright: replace this key"
 
@@ -266,7 +268,9 @@ def pseudonymise(text: str, key: bytes = DEFAULT_KEY, inverse: bool = False) ->
 def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """One row per row: doc_id, text (rewritten; null stays null), n_found, kinds (distinct, sorted).
 
-    One pass without a shuffle.  Very long texts are handled whole; other columns are dropped.
+    One pass without a shuffle.  Equal values get equal pseudonyms in all rows, and repeated
+    rows equal results; an empty text stays empty and an empty table gives no rows.  Very
+    long texts are handled whole; other columns, clashing names included, are dropped.
     """
     kind_of = dict(docs.dtypes)["doc_id"]
 
@@ -288,4 +292,6 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFra
 
 
 def op1_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise_documents(table(spark, sf_dir, "documents"))
+    """Every document under the session's key (KEY_SETTING); without that setting, as in tests, under the default key."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise_documents(table(spark, sf_dir, "documents"), key.encode() if key else DEFAULT_KEY)

@@ -26,10 +26,14 @@ CELLS = 1 << 14
 
 
 def ring(spark: SparkSession, shards: int, virtual_nodes: int, open_shards: list[int], seed: int) -> DataFrame:
-    """Rows (cell, shard): for each ring cell, the open shard met next clockwise.  CELLS rows."""
+    """Rows (cell, shard): for each ring cell, the open shard met next clockwise.  CELLS rows.
+
+    A shard's nodes depend on its number and theirs alone, not on how many shards there are.
+    """
+    shard, node = F.floor(F.col("id") / virtual_nodes).cast("int"), (F.col("id") % virtual_nodes).cast("int")
     nodes = (
         spark.range(shards * virtual_nodes, numPartitions=1)
-        .select((F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("node"), F.lit(seed)), F.lit(CELLS)).alias("cell"))
+        .select(shard.alias("shard"), F.pmod(F.xxhash64(shard, node, F.lit(seed)), F.lit(CELLS)).alias("cell"))
         .where(F.col("shard").isin(open_shards))
     )
     twice = nodes.unionAll(nodes.select("shard", F.col("cell") + CELLS))
@@ -99,7 +103,9 @@ def ring_shards(
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document with size, text checksum, shard and slot; equal texts are not kept together.
 
-    A null or empty text has size 1 and the checksum of no bytes.
+    A null or empty text has size 1 and the checksum of no bytes.  Rows take their place on
+    the ring by id, size and checksum, so rows without an id, or that share one, spread as
+    others do.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -107,7 +113,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    return ring_shards(rows, F.col("doc_id"), shards)
+    return ring_shards(rows, F.xxhash64("doc_id", "size", "text_crc32"), shards)
 
 
 def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     status: ok, invalid_arguments, missing_result, result_before_call, unmet_need (a
     needed call does not exist), cycle or orphan_result; the first that applies from
     the right.  Rows with ``depth`` are in topological order by (depth, position, call_id).
+    Empty tables give no rows.  Extra columns, clashing names included, are not used.
     """
     calls = calls.select("call_id", F.col("position").cast("long").alias("position"), "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
     results = results.select("call_id", F.col("position").cast("long").alias("position"), "content")
