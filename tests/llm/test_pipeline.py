@@ -90,13 +90,19 @@ def test_mixture(spark, steps):
 def test_shards(spark, data, steps):
     check_shards(steps[5], 16)
     assert sorted(r.doc_id for r in steps[5]) == sorted(r.doc_id for r in steps[4])
+    mark = C.written(spark)
     assert sorted(P.run(spark, data).collect()) == sorted(steps[5])
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in C._written[spark.sparkContext.applicationId][mark:]]
+    assert names[:4] == ["quality", "near_duplicates", "benchmark_free", "mixture"] and set(names[4:]) <= {"step"}  # what stages wrote on their way is gone
 
 
 def test_stages_on_odd_rows(spark, data, odd, empty):
-    for _, stage in P.STAGES:
-        stage(spark, odd, data).count()
+    for name, stage in P.STAGES:
+        out = stage(spark, odd, data)
+        ids = [r.doc_id for r in out.collect()]
         assert stage(spark, empty, data).count() == 0
+        assert name == "shards" or set(out.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
+        assert name != "quality" or 1 not in ids
 
 
 def test_repeated_rows_leave_one(spark, data, documents):
@@ -122,16 +128,3 @@ def test_rows_fall_by_themselves(spark, data, documents):
     assert (None, good) in kept and (7, good + " end") in kept and not any(t == "short" for _, t in kept) and len(kept) == 62
     docs = documents([(None, good), (None, f"{good} {item} end"), (8, good), (8, f"lead {item}")])
     assert sorted((r.doc_id or 0, r.text) for r in P.benchmark_free(spark, docs, data).collect()) == [(0, good), (8, good)]
-
-
-def test_stages_leave_only_their_result(spark, data):
-    mark = C.written(spark)
-    P.run(spark, data).count()
-    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in C._written[spark.sparkContext.applicationId][mark:]]
-    assert names[:4] == ["quality", "near_duplicates", "benchmark_free", "mixture"] and set(names[4:]) <= {"step"}
-
-
-def test_columns_stay(spark, data, odd):
-    for _, stage in P.STAGES[:-1]:
-        assert set(stage(spark, odd, data).columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
-    assert P.quality(spark, odd, data).where(F.col("doc_id") == 1).count() == 0

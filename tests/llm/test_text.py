@@ -78,6 +78,24 @@ def test_invalid_values_stay():
     assert I.pseudonymise("4451718024887799 27.65.93.188")[1] == ["card", "address"]
 
 
+def test_pseudonyms_of_all_documents_return(spark, data):
+    """Whole table: texts come back by the inverse, equal values move alike, and what no value covers stays."""
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    linked = {}
+    for r in I.op1_feistel(spark, data).collect():
+        text = before[r.doc_id]
+        spans = I.matches(text)
+        moved = I.matches(r.text)
+        assert I.pseudonymise(r.text, inverse=True)[0] == text and r.n_found == len(spans) and [k for _, _, k in moved] == [k for _, _, k in spans]
+        at, there = 0, 0
+        for (start, end, kind), (a, b, _) in zip(spans, moved, strict=True):
+            assert r.text[there:a] == text[at:start]
+            assert linked.setdefault((kind, text[start:end]), r.text[a:b]) == r.text[a:b] != text[start:end]
+            at, there = end, b
+        assert r.text[there:] == text[at:]
+    assert len(linked) > 10 and len(set(linked.values())) == len(linked)
+
+
 def test_permutation_is_a_bijection():
     for size in (1, 2, 7, 100, 1000):
         image = [I.permute(i, size, b"k", b"t") for i in range(size)]
@@ -204,6 +222,44 @@ def test_templates_judge_each_occurrence(spark, documents):
     assert not got[5][0] and got[6] == (True, 3, False)
 
 
+def test_templates_find_new_parameters_in_random_texts(spark, documents):
+    """Items of random words, numbers and names: one-to-one replacements are caught, those that give two values to one slot are not."""
+    rng = random.Random(21)
+    stock = invented(rng, 1, words=400)[0].split() + ["".join(rng.choice("fghijklm") for _ in range(5)) for _ in range(200)]
+
+    def item():
+        number, name = rng.sample(range(100, 999), 3), rng.sample(["Anna", "Berta", "Carla", "Dora", "Emil"], 2)
+        words = [w for _ in range(5) for w in (*rng.sample(stock, 4), str(rng.choice(number)))]
+        return "so " + " ".join([*words[:9], name[0], *words[9:18], name[1], *words[18:], str(number[0]), "and", str(number[0])]), number, name
+
+    def changed(text, number, name, broken):
+        values = dict(zip(map(str, number), map(str, rng.sample(range(1000, 5000), 3)), strict=True)) | dict(zip(name, rng.sample(["Fritz", "Gerda", "Hanna"], 2), strict=True))
+        words = [values.get(w, w) for w in text.split()]
+        if broken:
+            words = [str(7000 + k) if w in values.values() and w.isdigit() else w for k, w in enumerate(words)]
+        return " ".join(words)
+
+    items = [item() for _ in range(12)]
+    bench = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(items)] + [(100 + i, t) for i, (t, _, _) in enumerate(items[:3])], "item_id long, text string")
+    rows = [(1000 * broken + i, f"{' '.join(rng.sample(stock, 30))}. {changed(*it, broken)}. {' '.join(rng.sample(stock, 30))}") for i, it in enumerate(items) for broken in (False, True)]
+    rows += [(5000 + i, " ".join(rng.sample(stock, 60))) for i in range(20)]
+    got = {r.doc_id: r for r in C.decontaminate(documents(rows), bench).collect()}
+    for i in range(12):
+        assert got[i].contaminated and got[i].reparameterised and got[i].first_item == i and got[i].n_items == (2 if i < 3 else 1)
+        assert not got[1000 + i].contaminated
+    assert not any(got[5000 + i].contaminated for i in range(20))
+
+
+def test_common_windows_make_no_pairs(spark, documents):
+    """An opening that all items share is no evidence; each item's own part is."""
+    opening = "which of the following statements about the given passage is most likely to be true"
+    own = [" ".join(f"{a}{k}x" for k in "abcdefghijklmnop") for a in ("q", "w", "e")]
+    bench = spark.createDataFrame([(i, f"{opening} {o}") for i, o in enumerate(own)], "item_id long, text string")
+    docs = documents([(1, f"lead {opening} tail"), (2, f"lead {opening} {own[1]} tail"), (None, f"{opening} {own[2]}"), (None, "plain text")])
+    got = sorted((r.doc_id or 0, r.contaminated, r.first_item) for r in C.decontaminate(docs, bench).collect())
+    assert got == [(0, True, 2), (0, True, 2), (1, False, None), (2, True, 1)]
+
+
 def test_filter_changes_nothing(spark, documents, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     docs = documents([(i, f"lead {i} {ITEMS[i % 3]} tail") for i in range(9)])
@@ -224,7 +280,7 @@ def test_templates_of_odd_rows(spark, odd, empty):
 
 
 def naive_ppm(texts, trained):
-    """log10 probability per text, by the definition: contexts of up to ORDER bytes across words, method D escapes and full exclusion."""
+    """log10 probability per text, by the definition: contexts of up to ORDER bytes across words, escapes by the bytes seen once, full exclusion."""
     counts = defaultdict(Counter)
     read = lambda words: "\0" * L.ORDER + "".join(w + " " for w in words) + "\n"
     for p in map(read, trained):
@@ -235,16 +291,16 @@ def naive_ppm(texts, trained):
     def code(context, symbol):
         total, banned = 0.0, set()
         for j in range(L.ORDER, -1, -1):
-            seen = counts.get(context[len(context) - j :])
-            if not seen:
+            seen = counts.get(context[len(context) - j :], {})
+            if sum(seen.values()) < (L.LEAST if j > 2 else 1):
                 continue
             live = {s: n for s, n in seen.items() if s not in banned}
             if not live:
                 continue
-            n = sum(live.values())
+            n, once = sum(live.values()), sum(c == 1 for c in live.values())
             if symbol in live:
-                return total + math.log10((2 * live[symbol] - 1) / (2 * n))
-            total += math.log10(len(live) / (2 * n))
+                return total + math.log10(live[symbol] / (n + once + 1))
+            total += math.log10((once + 1) / (n + once + 1))
             banned |= set(seen)
         return total - math.log10(256 - len(banned))
 
@@ -269,7 +325,7 @@ def test_ppm_equals_definition(documents, monkeypatch):
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t) + 1, sum(seen[w] > 0 for w in [*t, None]), n)
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in [*t, None]))
-        assert r.score == pytest.approx(want[i], rel=1e-6)
+        assert r.score == pytest.approx(want[i], rel=2e-5)
 
 
 def test_ppm_reads_the_word_before(documents):
@@ -294,7 +350,7 @@ def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     untrained = L.score_documents(odd, lambda i: F.lit(True)).collect()
-    assert {round(r.score, 6) for r in untrained if r.doc_id == 2} == {round(-math.log10(256), 6)}
+    assert all(abs(r.score + math.log10(256)) < 1e-4 for r in untrained if r.doc_id == 2)
     assert L.score_documents(empty, lambda i: i > 7).count() == 0
 
 
@@ -545,6 +601,41 @@ def test_rules_of_odd_rows(odd, empty):
     assert Q.judge(empty).count() == 0
 
 
+# ------------------------------------------------------------- queries
+
+CONTRACT = {
+    "op2_runs": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
+    "op4_ring": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op5_ppm": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "op6_grammar": {"doc_id", "held_out", "score", "predicted"},
+    "op8_product": {"doc_id", "n_shingles", "component_id"},
+    "op10_hosts": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_registered_queries_cover_their_tables(spark, data, name):
+    rows = registry.queries()[name](spark, data).collect()
+    ids = sorted(r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect())
+    if name != "op9_links":
+        assert sorted(r.doc_id for r in rows) == ids
+    assert CONTRACT.get(name, set()) <= set(rows[0].asDict())
+    out = lambda parts: {i: zlib.crc32(str(i).encode()) % parts == 2 for i in ids}
+    if name == "op4_ring":
+        sizes, shards = {r.doc_id: r for r in rows}, Counter(r.shard for r in rows)
+        assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None} and set(shards) == set(range(16)) and max(shards.values()) - min(shards.values()) <= 1
+        assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in shards.items())
+        for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+            assert (sizes[r.doc_id].size, sizes[r.doc_id].text_crc32) == (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()))
+    if name == "op5_ppm":
+        assert {r.doc_id: r.held_out for r in rows} == out(7)
+    if name == "op6_grammar":
+        assert {r.doc_id: r.held_out for r in rows} == out(4) and all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    if name == "op2_runs":
+        texts = [(r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(rows, key=lambda r: r.doc_id)] == naive_repeats(texts, 400)
+
+
 # ------------------------------------------------------------- SQL
 
 

@@ -4,10 +4,12 @@ The model reads a text as its lower-cased words, each closed by a space, and an
 mark.  A byte is predicted from up to ``ORDER`` preceding bytes of the text, across word
 ends (zeros before the text).  The context trie holds a count for every context and next
 byte of the training texts.  A byte not seen in a context escapes to the next shorter one
-with probability d / 2n, d the distinct and n the counted bytes there (a seen byte of
-count c has (2c - 1) / 2n), after removing the bytes that the longer context has seen
-(symbol exclusion); below order 0 the remaining byte values are equally likely.  The code
-lengths are pretrained: all training text is counted first, then every text is scored.
+with probability (t + 1) / (n + t + 1), n the counted bytes there and t those counted
+once, whose number tells how often new ones come; a seen byte of count c has
+c / (n + t + 1).  Bytes that the longer context has seen are removed first (symbol
+exclusion); below order 0 the remaining byte values are equally likely.  Contexts of over
+two bytes that occur fewer than ``LEAST`` times predict nothing.  The code lengths are
+pretrained: all training text is counted first, then every text is scored.
 
 Scale.  A byte's probability depends on its window of ORDER + 1 bytes alone.  Texts are
 cut into chunks of ``CHUNK_BYTES``; a chunk asks for its distinct windows, sorted and
@@ -44,6 +46,7 @@ from tilewright.llm.common import stash, table
 from tilewright.llm.kernel import chunks, rolling, span_hashes
 
 ORDER = 7  # with the predicted byte, the eight bytes of a 64-bit window; at least 3, at most 7
+LEAST = 4
 SPACE, END = 0x20, 0x0A
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
@@ -286,22 +289,32 @@ def _asks(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 # ---------------------------------------------------------------- the trie
 
 
-def _log(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1))
+@dataclass
+class Level:
+    """Per node of one order: its byte's count, and of its context the counted, distinct and once-counted bytes;
+    the log probability after escaping from the next longer context, and with this one as the longest."""
 
+    c: np.ndarray
+    n: np.ndarray
+    d: np.ndarray
+    t: np.ndarray
+    escape: np.ndarray
+    start: np.ndarray
 
-def level(c, n, d, x, low) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of a node's byte after escaping from its context, and with it as the longest context.
+    def at(self, *places: np.ndarray) -> Level:
+        return Level(*(v[places] for v in (self.c, self.n, self.d, self.t, self.escape, self.start)))
 
-    ``c`` counts the byte in the context, ``n`` and ``d`` all and the distinct bytes,
-    ``x`` those of the next shorter context that this one has seen.  ``low``: c, n, d,
-    escape and start there.
-    """
-    c_low, n_low, d_low, escape_low, start_low = low
-    left, fresh = 2 * (n_low - x), d_low - d
-    escape = np.where(c_low > 0, _log(2 * c_low - 1) - _log(left), np.where(fresh == 0, escape_low, _log(fresh) - _log(left) + escape_low))
-    start = np.where(c > 0, _log(2 * c - 1) - _log(2 * n), _log(d) - _log(2 * n) + escape)
-    return escape, np.where(n == 0, start_low, start)
+
+def _code(c, n, t, new):
+    """Log probability of a byte with count c, or of an escape and then ``new``."""
+    return np.where(c > 0, np.log10(np.maximum(c, 1)), np.log10(t + 1) + new) - np.log10(n + t + 1)
+
+
+def level(c, n, d, t, x, x_once, low: Level, least: int = 1) -> Level:
+    """The next longer order.  ``x`` and ``x_once``: what the shorter context counts, and counts once, of the bytes that this one has seen."""
+    live, fresh, once = low.n - x, low.d - d, low.t - x_once
+    escape = np.where(fresh > 0, _code(low.c, live, once, low.escape), low.escape)
+    return Level(c, n, d, t, escape, np.where(n < least, low.start, _code(c, n, t, escape)))
 
 
 class Roots:
@@ -313,27 +326,26 @@ class Roots:
         context, symbol = (self.codes >> np.uint64(8)).astype(np.int64), (self.codes & SYMBOL).astype(np.int64)
         one = np.bincount((context >> 8) * 256 + symbol, weights=self.counts, minlength=65536).reshape(256, 256)
         zero = one.sum(0)
-        n, d = zero.sum(), float((zero > 0).sum())
-        escape = np.full(256, -_log(np.array(256 - d)))
-        start = np.where(zero > 0, _log(2 * zero - 1) - _log(2 * n), _log(np.array(d)) - _log(2 * n) + escape) if n else np.full(256, -np.log10(256.0))
-        n1, d1 = one.sum(1, keepdims=True), (one > 0).sum(1, keepdims=True).astype(float)
-        x1 = ((one > 0) * zero).sum(1, keepdims=True)
-        escape1, start1 = level(one, n1, d1, x1, (zero, n, d, escape, start))
-        self.one = [one, np.broadcast_to(n1, one.shape), np.broadcast_to(d1, one.shape), escape1, start1]
-        self.n = np.bincount(context, weights=self.counts, minlength=65536)
-        self.d = np.bincount(context, minlength=65536).astype(float)
-        self.x = np.bincount(context, weights=one[context >> 8, symbol], minlength=65536)
-
-    def second(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-        """c, n, d, escape and start of level 2 for windows."""
+        n, d, t = zero.sum(), float((zero > 0).sum()), float((zero == 1).sum())
+        full = lambda v: np.full(256, float(v))
+        equal = full(-np.log10(max(256 - d, 1.0)))
+        start = _code(zero, n, t, equal) if n else full(-np.log10(256.0))
+        zeroth = Level(zero, full(n), full(d), full(t), equal, start)
+        sums = lambda v: np.broadcast_to(v.sum(1, keepdims=True).astype(float), one.shape)
+        seen = one > 0
+        self.first = level(one, sums(one), sums(seen), sums(one == 1), sums(seen * zero), sums(seen * (zero == 1)), zeroth)
+        below = one[context >> 8, symbol]
+        self.sums = [np.bincount(context, weights=w, minlength=65536) for w in (self.counts, np.ones(len(context)), self.counts == 1, below, below == 1)]
+
+    def second(self, keys: np.ndarray) -> Level:
+        """Level 2 for windows."""
         codes = low_codes(keys)
         c = np.zeros(len(codes))
         if len(self.codes):
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             c = np.where(self.codes[at] == codes, self.counts[at], 0.0)
-        context, last, symbol = (codes >> np.uint64(8)).astype(np.int64), (keys >> np.uint64(56)).astype(np.int64), (keys & SYMBOL).astype(np.int64)
-        n, d = self.n[context], self.d[context]
-        return c, n, d, *level(c, n, d, self.x[context], tuple(v[last, symbol] for v in self.one))
+        context = (codes >> np.uint64(8)).astype(np.int64)
+        return level(c, *(v[context] for v in self.sums), self.first.at((keys >> np.uint64(56)).astype(np.int64), (keys & SYMBOL).astype(np.int64)))
 
 
 def trie_scores(keys: np.ndarray, counts: np.ndarray, roots: Roots) -> np.ndarray:
@@ -349,13 +361,13 @@ def trie_scores(keys: np.ndarray, counts: np.ndarray, roots: Roots) -> np.ndarra
     low = roots.second(nodes.pop())
     held.pop()
     while nodes:
-        c, own, up = held.pop(), nodes.pop(), ups.pop()
-        low = tuple(v[up] for v in low)
+        c, own = held.pop(), nodes.pop()
+        low = low.at(ups.pop())
         context = np.cumsum(np.concatenate(([True], (own[1:] ^ own[:-1]) > SYMBOL))) - 1  # sorted: a context's nodes lie together
         total = lambda v: np.bincount(context, weights=v)[context]  # noqa: B023, E731
-        n, d = total(c), total((c > 0).astype(np.float64))
-        low = (c, n, d, *level(c, n, d, total(low[0] * (c > 0)), low))
-    return low[4]
+        seen = c > 0
+        low = level(c, total(c), total(seen), total(c == 1), total(low.c * seen), total((low.c == 1) & seen), low, LEAST)
+    return low.start
 
 
 def merge(asks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
