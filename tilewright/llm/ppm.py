@@ -29,6 +29,7 @@ fails.  Give such an input as a written table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -48,12 +49,16 @@ from tilewright.llm.kernel import chunks, rolling, span_hashes
 ORDER = 7  # with the predicted byte, the eight bytes of a 64-bit window; at least 3, at most 7
 LEAST = 4
 SPACE, END = 0x20, 0x0A
-CHUNK_BYTES = 8 << 20
-RANGE_BYTES = 24 << 20
-MERGE_KEYS = 4_000_000
+CHUNK_BYTES = 5 << 20
+RANGE_BYTES = 16 << 20
+MERGE_KEYS = 2_000_000
 SEGMENT = 1 << 20
 
 SYMBOL = np.uint64(0xFF)
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library frees by itself
+    _LIBC = None
 WINDOWS, WORDS = range(2)  # kinds of asks
 TEXTS = "chunk string, texts binary"
 ASKS = "chunk string, kind int, part int, names binary, counts binary"
@@ -65,6 +70,13 @@ def context_mask(order: int) -> np.uint64:
     return np.uint64(((1 << (8 * order)) - 1) << (64 - 8 * order)) | SYMBOL
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that has finished a chunk waits beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -224,7 +236,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of TEXTS: every chunk as one compressed table."""
     for name, rows in _cut(batches):
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
             writer.write_table(rows)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
 
@@ -282,6 +294,9 @@ def _asks(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 out = [(name, *row) for row in asked(reading, trained)]
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["chunk", "kind", "part", "names", "counts"])
+                del out
+            del reading, trained
+            give_back()
 
     return run
 
@@ -396,7 +411,10 @@ def _answer(roots: Roots) -> Callable[[pa.Table], pa.Table]:
                 pending = [merge(pending)]
         keys, counts = merge(pending)
         scores = short(trie_scores(keys, counts, roots))
+        del pending, counts
         found = [pack(scores[np.searchsorted(keys, unpack_sorted(name.as_py()))]) for name in asked.column("names")]
+        del keys, scores
+        give_back()
         return _answers(chunk, kind, part, found, 0, 0)
 
     return run
@@ -442,6 +460,8 @@ def _totals(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             order = np.argsort(part)
             per_byte[k + order] = scores[np.searchsorted(every, part[order])]
         score = np.add.reduceat(per_byte, reading.texts[:-1], dtype=np.float64)
+        del keys, every, scores, per_byte
+        give_back()
         n = rows.num_rows
         end = lambda x, last: pa.array([*x.tolist(), last])
         total, known_words = (pc.sum(answers.column(x)).as_py() or 0 for x in ("total", "known"))
