@@ -16,10 +16,15 @@ from tilewright.operators.masks import mask_shape
 from tilewright.operators.spatial import range_join
 
 SIDE = 32
+#: A cell's number is its column times this plus its row; wider than a grid, so that neighbours do not wrap.
+CODE = 100
 
 
 def snapshots(rects: DataFrame, keys: Sequence[str], side: int = SIDE) -> DataFrame:
-    """(keys, gx, gy, box columns, gw, gh): the cells with a pixel of every mask; pixel i of n shows in cell i * g div n."""
+    """(keys, gx, gy, box columns, gw, gh): the cells with a pixel of every mask; pixel i of n shows in cell i * g div n.
+
+    A mask's cells form as one array in its row and explode once, at the end.
+    """
     shape = mask_shape(rects, keys).select(*keys, *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
     shape = shape.withColumn("gw", F.least(F.col("bx1") - F.col("bx0"), F.lit(side))).withColumn("gh", F.least(F.col("by1") - F.col("by0"), F.lit(side)))
     cut = rects.select(*keys, "x0", "y0", "x1", "y1").join(shape, list(keys))
@@ -29,8 +34,10 @@ def snapshots(rects: DataFrame, keys: Sequence[str], side: int = SIDE) -> DataFr
         at = lambda c: F.floor((c - F.col(f"b{axis}0")) * F.col(grid) / n)
         return F.sequence(at(F.col(f"{axis}0")), at(F.col(f"{axis}1") - 1))
 
-    wide = cut.withColumn("gx", F.explode(cells("x", "gw")))
-    return wide.withColumn("gy", F.explode(cells("y", "gh"))).select(*keys, "gx", "gy", "bx0", "by0", "bx1", "by1", "gw", "gh").distinct()
+    box = ("bx0", "by0", "bx1", "by1", "gw", "gh")
+    codes = F.flatten(F.transform(cells("x", "gw"), lambda x: F.transform(cells("y", "gh"), lambda y: x * CODE + y)))
+    grids = cut.select(*keys, *box, codes.alias("codes")).groupBy(*keys, *box).agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+    return grids.select(*keys, *box, F.explode("codes").alias("code")).select(*keys, F.floor(F.col("code") / CODE).alias("gx"), (F.col("code") % CODE).alias("gy"), *box)
 
 
 def placed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,10 +47,14 @@ def placed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def frontier(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells with a side neighbour that is empty or off the grid."""
-    around = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    held = cells.select(*keys, F.explode(around).alias("n")).select(*keys, "n.gx", "n.gy").groupBy(*keys, "gx", "gy").agg(F.count("*").alias("_sides"))
-    return cells.join(held.where("_sides = 4").drop("_sides"), [*keys, "gx", "gy"], "left_anti")
+    """Cells with a side neighbour that is empty or off the grid: all less those that stay when the grid is moved to each side."""
+    box = ("bx0", "by0", "bx1", "by1", "gw", "gh")
+    code = (F.col("gx") * CODE + F.col("gy")).alias("code")
+    grids = cells.groupBy(*keys, *box).agg(F.collect_set(code).alias("codes"))
+    moved = lambda step: F.transform("codes", lambda c: c + step)
+    inner = F.array_intersect(F.array_intersect(moved(CODE), moved(-CODE)), F.array_intersect(moved(1), moved(-1)))
+    edge = grids.select(*keys, *box, F.explode(F.array_except("codes", inner)).alias("code"))
+    return edge.select(*keys, F.floor(F.col("code") / CODE).alias("gx"), (F.col("code") % CODE).alias("gy"), *box)
 
 
 def near_masks(cells: DataFrame, within: float, group: Sequence[str] = ("image_id",), key: str = "ann_id") -> DataFrame:
