@@ -70,3 +70,34 @@ def places(value: Column, n: int) -> Column:
 
 def clamp(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(value, high))
+
+
+def within_reach(x: Column, y: Column, box: str, reach: Column) -> Column:
+    """Whether a point lies at most ``reach`` from a box, on both axes."""
+    (x0, x1), (y0, y1) = side(box, "x"), side(box, "y")
+    return F.greatest(x0 - x, x - x1, y0 - y, y - y1, F.lit(0)) <= reach
+
+
+def centre_inside(box: str, rect: str) -> Column:
+    """Whether a box's centre lies in a rectangle, its sides included."""
+    tests = []
+    for axis in "xy":
+        (a0, a1), (r0, r1) = side(box, axis), side(rect, axis)
+        tests.append(((a0 + a1) / 2).between(r0, r1))
+    return tests[0] & tests[1]
+
+
+def inside_by(box: str, rect: str, margin: Column) -> Column:
+    """Whether a box lies inside a rectangle with ``margin`` to spare on every side."""
+    (x0, x1), (y0, y1) = side(box, "x"), side(box, "y")
+    (r0, r1), (s0, s1) = side(rect, "x"), side(rect, "y")
+    return (x0 >= r0 + margin) & (y0 >= s0 + margin) & (x1 <= r1 - margin) & (y1 <= s1 - margin)
+
+
+def presented_scale(downscale: Column) -> Column:
+    """Scale of an image that was reduced by a factor; none or one leaves it."""
+    return F.when(F.coalesce(downscale, F.lit(1)) <= 1, F.lit(1.0)).otherwise(F.lit(1.0) / downscale)
+
+
+def sigmoid(x: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))

@@ -191,3 +191,13 @@ def export_masks(images: DataFrame, rects: DataFrame, labels: Sequence[str], for
     target = F.concat(F.regexp_replace("file_name", r"\.[^./\\]*$", ""), F.lit("_mask.tiff"))
     out = images.select(F.col("id").alias("image_id"), "file_name").join(union, "image_id", "left")
     return out.select("file_name", target.alias("target"), F.coalesce("area", F.lit(0)).cast("long").alias("area"), (F.col("area").isNotNull() | F.lit(force)).alias("written"))
+
+
+def distinct_masks(masks: DataFrame) -> DataFrame:
+    """(key, uses): every mask content once, as a cache holds it, with how many masks show it."""
+    return masks.groupBy(mask_key(F.col("counts")).alias("key")).agg(F.count("*").alias("uses"))
+
+
+def sample_step(side: Column, limit: int = 2016) -> Column:
+    """Step at which a side of more than ``limit`` pixels is thinned."""
+    return F.greatest(F.ceil(side / limit), F.lit(1)).cast("long")

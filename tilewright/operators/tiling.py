@@ -83,3 +83,32 @@ def first_slot(detections: DataFrame, slots: DataFrame) -> DataFrame:
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     held = detections.join(slots, "canvas").where((cx >= F.col("cell_x")) & (cx < F.col("cell_x") + F.col("cell_w")) & (cy >= F.col("cell_y")) & (cy < F.col("cell_y") + F.col("cell_h")))
     return held.groupBy("ann_id").agg(F.min("slot").alias("slot"))
+
+
+def to_local(box: str, tile: str, scale: Column) -> dict[str, Column]:
+    """A box's corners in the pixels that a model sees of a tile."""
+    return {f"{a}{k}": (F.col(f"{box}{a}{k}") - F.col(f"{tile}{a}0")) * scale for a in "xy" for k in (0, 1)}
+
+
+def to_global(box: str, tile: str, scale: Column) -> dict[str, Column]:
+    """The inverse of to_local."""
+    return {f"{a}{k}": F.col(f"{box}{a}{k}") / scale + F.col(f"{tile}{a}0") for a in "xy" for k in (0, 1)}
+
+
+def presented_size(tile: str, scale: Column) -> list[Column]:
+    """Width and height of a tile as presented: at least one pixel."""
+    return [F.greatest(F.rint((F.col(f"{tile}{a}1") - F.col(f"{tile}{a}0")) * scale), F.lit(1.0)).cast("long").alias(n) for a, n in (("x", "out_w"), ("y", "out_h"))]
+
+
+def prompts(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(image_id, tile, ann_id, positive, box): the boxes of a request that lie in a tile, in its presented pixels."""
+    corner = ("x0", "y0", "x1", "y1")
+    held = range_join(boxes.select("image_id", "ann_id", "positive", *corner), tiles.select("image_id", "tile", "scale", *corner), ["image_id"])
+    inside = " AND ".join(f"a_{a}0 >= b_{a}0 AND a_{a}1 <= b_{a}1" for a in "xy")
+    moved = to_local("a_", "b_", F.col("b_scale"))
+    return held.where(inside).select("image_id", F.col("b_tile").alias("tile"), F.col("a_ann_id").alias("ann_id"), F.col("a_positive").alias("positive"), *[c.alias(n) for n, c in moved.items()])
+
+
+def shown_pixel(pixel: Column, shown: Column, source: Column) -> Column:
+    """The source pixel that a pixel of an enlarged or reduced raster shows."""
+    return F.floor(pixel * source / shown).cast("long")

@@ -16,7 +16,7 @@ from tilewright.operators import statistics as T
 from tilewright.operators import sweep as P
 from tilewright.operators import tiling as L
 from tilewright.operators.matching import seeded_groups
-from tilewright.plans import catalogue_masks, catalogue_review, catalogue_sweep
+from tilewright.plans import catalogue_masks, catalogue_review, catalogue_small, catalogue_sweep
 from tilewright.plans import fixtures as X
 from tilewright.plans.oracles import ORACLES
 from tilewright.sources.coco import normalize_prompt
@@ -281,8 +281,8 @@ def queries() -> dict[str, Query]:
         ewma_pace, normalize_prompts, dedup_seed_groups, retract_antijoin, rle_roundtrip,
         sweep_events, sweep_survivors, cluster_ambiguous, exemplar_cover, despeckle, stream_fold,
     ]
-    return {"eval_report_grouping_sets": eval_report} | {f.__name__: f for f in named} | catalogue_masks.QUERIES | catalogue_review.QUERIES | catalogue_sweep.QUERIES
+    return {"eval_report_grouping_sets": eval_report} | {f.__name__: f for f in named} | catalogue_masks.QUERIES | catalogue_review.QUERIES | catalogue_sweep.QUERIES | catalogue_small.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | catalogue_masks.ORACLES | catalogue_review.ORACLES | catalogue_sweep.ORACLES
+    return ORACLES | catalogue_masks.ORACLES | catalogue_review.ORACLES | catalogue_sweep.ORACLES | catalogue_small.ORACLES
