@@ -68,6 +68,8 @@ def segments(chunk: Chunk, length: int, gram: int) -> Iterator[tuple[int, np.nda
         a, b = int(chunk.offsets[k]), int(chunk.offsets[k + 1])
         if b - a < length:
             continue
+        if (b - a) >> int(_PLACE_BITS):
+            raise ValueError(f"a text of {b - a} bytes: places hold at most {1 << int(_PLACE_BITS)}")
         own = hashes[a : b - gram + 1]
         # the place in the low bits: of equal hashes the leftmost wins, in equal windows the same one
         ranked = ((own >> _PLACE_BITS) << _PLACE_BITS) | np.arange(len(own), dtype=np.uint64)
