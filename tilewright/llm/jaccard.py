@@ -317,7 +317,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     )
 
     # signatures of the classes left
-    texts = rows.join(left.select(F.col("class_id").alias("doc_id"), "class_key"), "doc_id")
+    texts = rows.join(left.select(F.col("class_id").alias("doc_id"), "class_key").hint("merge"), "doc_id")
     signed = settle(texts.mapInArrow(_signed(n, percent), "class_key long, marks array<long>, grams binary").dropDuplicates(["class_key"]))
     marks = signed.select("class_key", F.explode("marks").alias("mark"))
     leaders = marks.groupBy("mark").agg(F.min("class_key").alias("leader"), F.count("*").alias("held")).where("held > 1")
@@ -330,8 +330,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     tiles = groups.groupBy("group_id").agg(F.greatest(F.least(F.ceil(rows_in / least), F.lit(TILES)), F.ceil(rows_in / most)).cast("int").alias("tiles"))
     dealt = (
         signed.select("class_key", "grams")
-        .join(groups, "class_key")
-        .join(left.select("class_key", "copies"), "class_key")
+        .join(groups.hint("merge"), "class_key")
+        .join(left.select("class_key", "copies").hint("merge"), "class_key")
         .join(tiles, "group_id")
         .withColumn("tile", F.pmod(F.xxhash64("class_key"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
