@@ -250,12 +250,24 @@ def low_codes(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(48) << np.uint64(8)) | (keys & SYMBOL)
 
 
+def short_codes(reading: Reading) -> np.ndarray:
+    """low_codes of every byte's window, from three bytes alone."""
+    flat = reading.flat
+    out = flat.astype(np.uint32)
+    out[1:] |= flat[:-1].astype(np.uint32) << np.uint32(16)
+    out[2:] |= flat[:-2].astype(np.uint32) << np.uint32(8)
+    size = np.diff(reading.texts)
+    out[reading.texts[:-1]] &= np.uint32(0xFF)
+    out[reading.texts[:-1][size > 1] + 1] &= np.uint32(0xFF00FF)
+    return out
+
+
 def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, n): a partition's training counts of levels 0 to 2."""
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for _, rows in _cut(batches):
         reading = read_texts(rows.column("text"))
-        codes = low_codes(windows(reading))[np.repeat(_trained(rows), np.diff(reading.texts))].astype(np.uint32)
+        codes = short_codes(reading)[np.repeat(_trained(rows), np.diff(reading.texts))]
         codes.sort()
         own, often = distinct(codes)
         found = [merge([*found, (own.astype(np.uint64), often)])]
@@ -296,7 +308,6 @@ def _asks(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["chunk", "kind", "part", "names", "counts"])
                 del out
             del reading, trained
-            give_back()
 
     return run
 
@@ -461,7 +472,6 @@ def _totals(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             per_byte[k + order] = scores[np.searchsorted(every, part[order])]
         score = np.add.reduceat(per_byte, reading.texts[:-1], dtype=np.float64)
         del keys, every, scores, per_byte
-        give_back()
         n = rows.num_rows
         end = lambda x, last: pa.array([*x.tolist(), last])
         total, known_words = (pc.sum(answers.column(x)).as_py() or 0 for x in ("total", "known"))
