@@ -475,3 +475,26 @@ def test_cycles_in_the_label_forest(labels):
     own = anns.join(cats, anns["category_id"] == cats["id"]).groupBy("name").agg(F.count("*").alias("n"))
     shown = [(r["name"], r["depth"]) for r in V.forest(cats, own).orderBy("path").collect()]
     assert shown == [("pet", 0), ("dog", 1), ("pug", 2), ("cat", 1), ("a", 0), ("b", 1)]
+
+
+def test_outlines_are_the_frontier_and_shuffle_no_cells(spark, data):
+    from tilewright.plans.catalogue_masks import snapshot_frontier
+
+    rng = random.Random(8)
+    rows = []
+    for ann in range(40):
+        x, top = rng.randrange(50), rng.randrange(50)
+        for _ in range(rng.randrange(1, 5)):  # strips beside each other, with gaps; sides under, at and over a grid's
+            y, w = top + rng.randrange(40), rng.choice((1, 3, 8, 32, 60))
+            rows.append((ann % 3, ann, x, y, x + w, y + rng.choice((1, 5, 32, 70))))
+            x += w + rng.choice((0, 0, 7))
+    rects = spark.createDataFrame([*rows, (1, None, 0, 0, 5, 5)], "image_id long, ann_id long, x0 long, y0 long, x1 long, y1 long")
+    keys = ["image_id", "ann_id"]
+    want = N.frontier(N.snapshots(rects, keys), keys)
+    got = N.outlines(rects, keys)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert N.outlines(rects, keys, 62).where("gw > 62").isEmpty()
+    with pytest.raises(ValueError):
+        N.outlines(rects, keys, 63)
+    plan = snapshot_frontier(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "collect_set" not in plan  # of rectangles, and of counts per mask

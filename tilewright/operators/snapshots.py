@@ -57,6 +57,32 @@ def frontier(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edge.select(*keys, F.floor(F.col("code") / CODE).alias("gx"), (F.col("code") % CODE).alias("gy"), *box)
 
 
+def outlines(rects: DataFrame, keys: Sequence[str], side: int = SIDE) -> DataFrame:
+    """The frontier of the masks' snapshots, straight from their rectangles; a null key is no mask.
+
+    A mask is one row from its rectangles on: each grid column is the bits of a long, so that no
+    cell is a row before it is known to lie on the edge, and rectangles alone are shuffled.
+    """
+    if side > 62:
+        raise ValueError("a grid column must fit the bits of a long")
+    box = ("bx0", "by0", "bx1", "by1", "gw", "gh")
+    bounds = [f(c).alias(f"b{c}") for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    known = rects.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    masks = known.groupBy(*keys).agg(*bounds, F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("parts"))
+    for axis, grid in (("x", "gw"), ("y", "gh")):
+        masks = masks.withColumn(grid, F.least(F.col(f"b{axis}1") - F.col(f"b{axis}0"), F.lit(side)))
+    at = lambda c, axis, grid: f"floor(({c} - b{axis}0) * {grid} / (b{axis}1 - b{axis}0))"
+    low, high = at("r.y0", "y", "gh"), at("r.y1 - 1", "y", "gh")
+    bits = f"shiftleft(shiftleft(1L, cast({high} - {low} + 1 as int)) - 1, cast({low} as int))"
+    spans = f"transform(parts, r -> struct({at('r.x0', 'x', 'gw')} as a, {at('r.x1 - 1', 'x', 'gw')} as b, {bits} as bits))"
+    held = "transform(sequence(0L, gw - 1L), x -> aggregate(spans, 0L, (held, s) -> IF(x BETWEEN s.a AND s.b, held | s.bits, held)))"
+    beside = lambda i: f"coalesce(get(held, cast({i} as int)), 0L)"
+    edge = f"transform(held, (c, i) -> c & ~(c & shiftleft(c, 1) & shiftright(c, 1) & {beside('i - 1')} & {beside('i + 1')}))"
+    grids = masks.withColumn("spans", F.expr(spans)).withColumn("held", F.expr(held)).select(*keys, *box, F.posexplode(F.expr(edge)).alias("gx", "bits"))
+    cells = F.explode(F.expr("filter(sequence(0L, gh - 1L), y -> getbit(bits, cast(y as int)) = 1)"))
+    return grids.where("bits <> 0").select(*keys, F.col("gx").cast("long").alias("gx"), cells.alias("gy"), *box)
+
+
 def near_masks(cells: DataFrame, within: float, group: Sequence[str] = ("image_id",), key: str = "ann_id") -> DataFrame:
     """(group, a, b): pairs of masks, a < b, of which two cells lie at most ``within`` apart; masks that share a cell among them."""
     keys = [*group, key]

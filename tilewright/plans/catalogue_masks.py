@@ -137,8 +137,7 @@ def snapshot_cells(spark, d):
 
 
 def snapshot_frontier(spark, d):
-    cells = N.snapshots(_ref(spark, d), ["image_id", "ann_id"])
-    return N.frontier(cells, ["image_id", "ann_id"]).groupBy("ann_id").agg(F.count("*").alias("cells"))
+    return N.outlines(_ref(spark, d), ["image_id", "ann_id"]).groupBy("ann_id").agg(F.count("*").alias("cells"))
 
 
 def _small(spark, d):
