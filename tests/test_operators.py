@@ -498,3 +498,39 @@ def test_outlines_are_the_frontier_and_shuffle_no_cells(spark, data):
         N.outlines(rects, keys, 63)
     plan = snapshot_frontier(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "collect_set" not in plan  # of rectangles, and of counts per mask
+
+
+def test_sweep_stops_after_the_step_asked_for(spark, data):
+    from tilewright.plans.catalogue import _scenes
+
+    scenes = _scenes(spark, data).where("image_id < 2")
+    images, detect = P._images(scenes), P.box_detector(scenes)
+    listed = lambda found: sorted(map(tuple, found["events"].select("image_id", "seq", "type", "index", "n", "origin").collect()), key=str)
+    whole = listed(P.sweep(images, detect))
+    for last, kinds in (("tiles", {"start", "batch"}), ("clusters", {"start", "batch", "regroup", "rebatch", "reprompt", "replace"})):
+        assert listed(P.sweep(images, detect, last=last)) == [e for e in whole if e[2] in kinds]
+    with pytest.raises(ValueError):
+        P.sweep(images, detect, last="never")
+
+
+def test_handed_over_steps_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    import time
+
+    from tilewright.sources import tables
+
+    gathered = []
+    monkeypatch.setattr(tables, "_gathered", {})
+    monkeypatch.setattr(tables.gc, "collect", lambda: gathered.append(1))
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    tables.give_back(spark)
+    time.sleep(1)
+    before = held()
+    for k in range(3):
+        tables.hand_over(spark.range(1000).groupBy((F.col("id") % (7 + k)).alias("k")).count(), "step")
+    tables.give_back(spark, every=0)
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before and len(gathered) >= 2
