@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -642,3 +643,26 @@ def test_registered_queries_cover_their_tables(spark, data, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, data, name):
     same_rows(connect(data), registry.queries()[name](spark, data), registry.oracle_sql()[name])
+
+
+def test_column_blocks_count_shared_ngrams_in_few_bytes():
+    """Counts over all blocks equal brute force, and many blocks do not multiply what is shuffled."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(pool, 40 + 30 * k, replace=False), rng.integers(0, 1 << 63, 200 * k, dtype=np.uint64)))) for k in range(12)]
+    keys = [int(k) for k in rng.integers(-(1 << 63), 1 << 63, len(sets), dtype=np.int64)]
+    mask = (1 << 8 * J.KEY_BYTES) - 1
+    for blocks in (1, 3, 200):
+        parts = [J._packed(keys[:7], sets[:7], blocks), J._packed(keys[5:], sets[5:], blocks)]  # two classes come twice
+        table, found = pa.Table.from_batches(parts), {}
+        for block in set(table.column("block").to_pylist()):
+            shared = J._shared(3)(table.filter(pc.equal(table.column("block"), block)))
+            summed = J._summed(shared).to_pydict() if len(shared) else {"short_key": [], "shared": []}
+            for key, n in zip(summed["short_key"], summed["shared"], strict=True):
+                found[key] = found.get(key, 0) + n
+        held = Counter(g for s in sets for g in s.tolist())
+        want = {k & mask: sum(held[g] > 1 for g in s.tolist()) for k, s in zip(keys, sets, strict=True)}
+        assert {k: n for k, n in want.items() if n} == found
+    columns = sum(map(len, sets))
+    packed = J._packed(keys, sets, 100 * columns)
+    assert sum(len(x) for c in ("keys", "counts", "grams") for x in packed.column(packed.schema.get_field_index(c)).to_pylist()) <= 11 * columns

@@ -44,6 +44,9 @@ BLOCK_COLUMNS = 4_000_000
 CLASSES_IN_RANGE = 50_000
 FLUSH_COLUMNS = 500_000
 NO_ID = -(1 << 63)
+#: Bytes of a class key while columns are counted.  Classes that share a short key are counted as one and all stay if it
+#: does; a link is lost only where a class's partners all share its short key, one in 2^48 per pair, as for equal hashes.
+KEY_BYTES = 6
 
 
 def overlap_needed(a, b, percent: int):
@@ -110,8 +113,26 @@ def _digests(n: int):
     return run
 
 
+def short_keys(names: np.ndarray) -> np.ndarray:
+    """The low KEY_BYTES bytes of class keys, one row each."""
+    return np.ascontiguousarray(names, "<i8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def long_keys(packed: list[bytes]) -> np.ndarray:
+    """Short keys as non-negative longs."""
+    short = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, KEY_BYTES)
+    names = np.zeros((len(short), 8), np.uint8)
+    names[:, :KEY_BYTES] = short
+    return names.view("<i8").ravel()
+
+
 def _packed(keys: list[int], sets: list[np.ndarray], blocks: int) -> pa.RecordBatch:
-    """One row per block: the class keys, their counts and their low hash halves that fall in it."""
+    """One row per block: the class keys, their counts and their low hash halves that fall in it.
+
+    With many blocks nearly every n-gram of a class falls into a block of its own, so keys
+    and counts outweigh the hashes: keys go by KEY_BYTES, counts by one byte, a count over
+    255 as the key again.
+    """
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     grams = np.concatenate(sets)
     names = np.array(keys, np.int64)
@@ -124,8 +145,12 @@ def _packed(keys: list[int], sets: list[np.ndarray], blocks: int) -> pa.RecordBa
         part = slice(cut[b], cut[b + 1])
         rows, counts = np.unique(owner[part], return_counts=True)
         out["block"].append(int(b))
-        out["keys"].append(names[rows].tobytes())
-        out["counts"].append(counts.astype(np.uint32).tobytes())
+        again = -(-counts // 255)  # a count over 255 takes several entries
+        last = np.cumsum(again) - 1
+        pieces = np.full(int(again.sum()), 255, np.uint8)
+        pieces[last] = counts - 255 * (again - 1)
+        out["keys"].append(short_keys(names[np.repeat(rows, again)]).tobytes())
+        out["counts"].append(pieces.tobytes())
         out["grams"].append(low[part].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("keys", "counts", "grams"))], list(out))
 
@@ -154,30 +179,28 @@ def _shared(ranges: int):
 
     def run(parts: pa.Table) -> pa.Table:
         names, shared = _shared_columns(parts)
-        place = (names.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+        place, short = (names.view(np.uint64) % np.uint64(ranges)).astype(np.int64), short_keys(names)
         order = np.argsort(place, kind="stable")
         cut = np.searchsorted(place[order], np.arange(ranges + 1))
         full = [int(r) for r in np.flatnonzero(np.diff(cut))]
         pack = lambda x, r: x[order[cut[r] : cut[r + 1]]].tobytes()
         return pa.table(
-            {"range": pa.array(full, pa.int64()), "keys": pa.array([pack(names, r) for r in full], pa.binary()), "shared": pa.array([pack(shared, r) for r in full], pa.binary())}
+            {"range": pa.array(full, pa.int64()), "keys": pa.array([pack(short, r) for r in full], pa.binary()), "shared": pa.array([pack(shared, r) for r in full], pa.binary())}
         )
 
     return run
 
 
 def _summed(parts: pa.Table) -> pa.Table:
-    names = np.frombuffer(b"".join(parts.column("keys").to_pylist()), np.int64)
-    names, which = np.unique(names, return_inverse=True)
+    names, which = np.unique(long_keys(parts.column("keys").to_pylist()), return_inverse=True)
     shared = np.frombuffer(b"".join(parts.column("shared").to_pylist()), np.uint32)
-    return pa.table({"class_key": names, "shared": np.bincount(which, weights=shared, minlength=len(names)).astype(np.int64)})
+    return pa.table({"short_key": names, "shared": np.bincount(which, weights=shared, minlength=len(names)).astype(np.int64)})
 
 
 def _shared_columns(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     grams = np.frombuffer(b"".join(parts.column("grams").to_pylist()), np.uint32)
-    names = np.frombuffer(b"".join(parts.column("keys").to_pylist()), np.int64)
-    counts = np.frombuffer(b"".join(parts.column("counts").to_pylist()), np.uint32)
-    names, which = np.unique(names, return_inverse=True)
+    counts = np.frombuffer(b"".join(parts.column("counts").to_pylist()), np.uint8)
+    names, which = np.unique(long_keys(parts.column("keys").to_pylist()), return_inverse=True)
     owner = np.repeat(which, counts).astype(np.uint64)
     ranked = np.unique((grams.astype(np.uint64) << np.uint64(32)) | owner)  # a class of several rows counts once
     low = ranked >> np.uint64(32)
@@ -310,8 +333,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = packed.groupBy("block").applyInArrow(_shared(max(1, ceil(n_classes / CLASSES_IN_RANGE))), "range long, keys binary, shared binary")
     left = settle_narrow(
         shared.groupBy("range")
-        .applyInArrow(_summed, "class_key long, shared long")
-        .join(classes, "class_key")
+        .applyInArrow(_summed, "short_key long, shared long")
+        .join(classes.withColumn("short_key", F.col("class_key").bitwiseAND(F.lit((1 << 8 * KEY_BYTES) - 1))), "short_key")
         .where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
         .select("class_key", "class_id", "copies")
     )
