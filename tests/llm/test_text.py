@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -347,6 +348,32 @@ def test_ppm_reads_seven_bytes(documents):
     assert got[8] - got[9] > 0.5
 
 
+def test_ppm_asks_cost_a_few_times_their_reading(monkeypatch):
+    """The asks of a chunk of mostly distinct windows: their counts are right, and they cost a few times the CPU seconds of sorted windows."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 20_000, np.uint8).tobytes().decode() for _ in range(100)]
+    rows = pa.table({"text": texts, "held_out": [k % 7 == 2 for k in range(len(texts))]})
+    monkeypatch.setattr(L, "_cut", lambda batches: [("chunk", rows)])
+    keys = L.windows(L.read_texts(rows.column("text")))
+
+    def seconds(f):
+        taken = []
+        for _ in range(3):
+            start = time.process_time()
+            out = f()
+            taken.append(time.process_time() - start)
+        return min(taken), out
+
+    reading, _ = seconds(lambda: np.sort(L.windows(L.read_texts(rows.column("text")))))
+    asking, batches = seconds(lambda: list(L._asks(1)([])))
+    asked = batches[0].to_pylist()[0]
+    trained = np.repeat(L._trained(rows), [len(t) + 2 for t in texts])
+    want = Counter(keys[trained].tolist())
+    assert L.unpack_sorted(asked["names"]).tolist() == sorted(set(keys.tolist()))
+    assert L.unpack(asked["counts"], np.uint32).tolist() == [want[k] for k in sorted(set(keys.tolist()))]
+    assert asking < 12 * reading
+
+
 def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
