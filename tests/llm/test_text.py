@@ -374,6 +374,24 @@ def test_ppm_asks_cost_a_few_times_their_reading(monkeypatch):
     assert asking < 12 * reading
 
 
+def test_ppm_answers_leave_in_parts(monkeypatch):
+    """A range's answers leave a few chunks at a time, the same ones as at once, its sums once."""
+    texts = invented(random.Random(4), 25)
+    tables = [(f"c{k}", pa.table({"text": texts[k * 5 : k * 5 + 5], "held_out": [False, True, False, False, False]})) for k in range(5)]
+    monkeypatch.setattr(L, "_cut", lambda batches: tables)
+    asks = list(L._asks(1)([]))
+    codes = np.unique(np.concatenate([L.low_codes(L.windows(L.read_texts(t.column("text")))) for _, t in tables]))
+    roots = L.Roots(codes, np.ones(len(codes)))
+    for kind in (L.WINDOWS, L.WORDS):
+        own = [b for b in asks if b.column("kind")[0].as_py() == kind]
+        whole = list(L._answer(roots)(iter(own)))
+        monkeypatch.setattr(L, "ANSWER_ROWS", 2)
+        parts = list(L._answer(roots)(iter(own)))
+        monkeypatch.setattr(L, "ANSWER_ROWS", 256)
+        assert [len(b) for b in whole] == [5] and [len(b) for b in parts] == [2, 2, 1]
+        assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+
 def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
