@@ -392,6 +392,20 @@ def test_ppm_answers_leave_in_parts(monkeypatch):
         assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
 
 
+@pytest.mark.parametrize("order", [7, 3])
+def test_ppm_of_texts_shorter_than_a_context(documents, monkeypatch, order):
+    """A partition may hold less than a context, and windows hold their latest bytes alone."""
+    monkeypatch.setattr(L, "ORDER", order)
+    texts = ["a", "", "b\u00e9 c", "xyz"]
+    for some in (texts[:1], texts[:2], texts):
+        parts = [("".join(w + " " for w in WORD.findall(t)) + "\n").encode() for t in some]
+        padded = [b"\0" * order + p for p in parts]
+        want = [p[k] | sum(p[k - j] << (64 - 8 * j) for j in range(1, order + 1)) for p in padded for k in range(order, len(p))]
+        assert L.windows(L.read_texts(pa.array(some))).tolist() == want
+    rows = L.score_documents(documents([(1, "a")]), lambda i: i > 7).collect()
+    assert [(r.doc_id, r.n_tokens, r.n_known) for r in rows] == [(1, 2, 2)] and rows[0].score < 0
+
+
 def test_ppm_of_odd_rows(odd, empty):
     rows = L.score_documents(odd, lambda i: i > 7).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
