@@ -166,6 +166,32 @@ def test_repeats_equal_brute_force(documents, crowd):
     assert [got[i] for i in range(len(texts))] == naive_repeats([t.encode() for t in texts], 24)
 
 
+@pytest.mark.parametrize("crowd", [3000, 1])
+def test_repeats_of_hot_anchors_equal_brute_force(documents, crowd):
+    """Anchors and digests met often take the broadcast route, the others the shuffled one, in one table."""
+    rng = random.Random(12)
+    line = " ".join(rng.choice(["foo", "bär", "baz", "q"]) for _ in range(14))
+    texts = [t + line + u for t, u in zip(invented(rng, 30), invented(rng, 30), strict=True)] + [line] * 9 + [line[3:] + "x"] * 2
+    docs = documents(list(enumerate(texts)))
+    want = naive_repeats([t.encode() for t in texts], 24)
+    for hot in (1, 4, 1000):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs, length=24, gram=10, crowd=crowd, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_rows_of_a_hot_key_do_not_meet_in_one_task(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 4000, 1, 8).selectExpr("id AS rk", "if(id % 2 = 0, -1, id % 100) AS anchor")
+        keys = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        got = S.with_keys(rows, keys, ["anchor"], "n", 500).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.rk, r.anchor, r.n) for r in got) == [(i, -1 if i % 2 == 0 else i % 100, 2000 if i % 2 == 0 else 40) for i in range(4000)]
+    assert max(Counter(r.task for r in got if r.anchor == -1).values()) == 250
+
+
 def test_repeats_of_odd_rows(odd, empty):
     rows = S.remove_repeats(odd).collect()
     assert len(rows) == 12
