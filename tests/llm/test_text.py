@@ -615,6 +615,20 @@ def test_linked_sets_share_a_signature():
                 assert len(np.intersect1d(x, y))
 
 
+def test_tile_pairs_take_turns(documents, monkeypatch):
+    """A group of 90 near copies in tiles of a few rows: no round deals a row to all its tiles, and nothing is lost between rounds."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:k % 45], f"x{k}", *base[k % 45 + 1:]]) for k in range(90)]
+    rows = documents(list(enumerate(texts)))
+    listed = lambda: sorted(map(tuple, J.jaccard_components(rows, 3, 80).collect()))
+    monkeypatch.setattr(J, "TILE_ROWS", (4, 8))
+    whole, dealt = listed(), []
+    monkeypatch.setattr(J, "ROUND_BYTES", 1)
+    monkeypatch.setattr(J, "_round_of_pairs", lambda sets, k, rounds, percent, f=J._round_of_pairs: dealt.append((k, rounds)) or f(sets, k, rounds, percent))
+    assert listed() == whole and len({r[2] for r in whole}) < 90
+    assert len(dealt) >= 5 and [k for k, _ in dealt] == list(range(dealt[0][1]))
+
+
 def test_product_of_odd_rows(odd, empty):
     rows = J.jaccard_components(odd).collect()
     by = defaultdict(set)

@@ -534,3 +534,23 @@ def test_handed_over_steps_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
             break
         time.sleep(0.2)
     assert held() <= before and len(gathered) >= 2
+
+
+def test_a_finished_hand_over_frees_its_shuffle_at_once(spark, monkeypatch):
+    """Without any later job: the listeners that still hold a write's plan have moved on when garbage is collected."""
+    import time
+
+    from tilewright.sources import tables
+
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    tables.give_back(spark, every=0)
+    time.sleep(1)
+    before = held()
+    monkeypatch.setattr(tables, "_gathered", {})
+    tables.hand_over(spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count(), "step")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before

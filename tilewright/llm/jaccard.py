@@ -14,7 +14,9 @@
 4.  Blocked product.  Each group's rows are dealt to tiles of at most ``TILE`` rows;
     every pair of tiles is one task that multiplies the two incidence blocks, adds up
     overlap counts, discards pairs below the size-derived bound and returns a spanning
-    forest of the links with each class's number of links.  No pairs are emitted.
+    forest of the links with each class's number of links.  No pairs are emitted.  A
+    row goes to as many tasks as its group has tiles, so the pairs of tiles take turns
+    in rounds: the disk for them grows with the rows, not with the tiles.
 5.  Components of the forest give the class ids.
 
 Scale: shuffles carry packed hashes of n-grams once (4 bytes each), then signatures of
@@ -26,6 +28,7 @@ in one group cost tiles squared, spread over tasks; equal sets cost nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, floor
 
 import numpy as np
@@ -40,6 +43,9 @@ from tilewright.llm.kernel import chunks, gram_hashes, mix, word_hashes
 #: Rows of a tile: at least the first, growing with the group to the second once it has TILES tiles.
 TILE_ROWS = (64, 1024)
 TILES = 32
+#: Pairs of tiles are multiplied in rounds that shuffle every set so many times on average, or so many bytes of sets if that is more.
+COPIES_AT_ONCE = 3
+ROUND_BYTES = 64 << 20
 BLOCK_COLUMNS = 4_000_000
 CLASSES_IN_RANGE = 50_000
 FLUSH_COLUMNS = 500_000
@@ -313,6 +319,18 @@ def _product(percent: int):
     return run
 
 
+def _round_of_pairs(sets: DataFrame, k: int, rounds: int, percent: int) -> DataFrame:
+    """Forest and link counts of those pairs of tiles that fall to round ``k``; every pair falls to one."""
+    pair = lambda o: (F.least(F.col("tile"), o), F.greatest(F.col("tile"), o))
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    if rounds > 1:
+        others = F.filter(others, lambda o: F.pmod(F.xxhash64("group_id", *pair(o)), F.lit(rounds)) == k)
+    dealt = sets.withColumn("other", F.explode(others))
+    low, high = pair(F.col("other"))
+    dealt = dealt.withColumn("low", low).withColumn("high", high).drop("tiles", "other")
+    return dealt.groupBy("group_id", "low", "high").applyInPandas(_product(percent), "a long, b long, links long")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
@@ -351,18 +369,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     least, most = TILE_ROWS
     rows_in = F.count("*")
     tiles = groups.groupBy("group_id").agg(F.greatest(F.least(F.ceil(rows_in / least), F.lit(TILES)), F.ceil(rows_in / most)).cast("int").alias("tiles"))
-    dealt = (
+    sets = settle(
         signed.select("class_key", "grams")
         .join(groups.hint("merge"), "class_key")
         .join(left.select("class_key", "copies").hint("merge"), "class_key")
         .join(tiles, "group_id")
         .withColumn("tile", F.pmod(F.xxhash64("class_key"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("tile", "other"))
-        .withColumn("high", F.greatest("tile", "other"))
-        .drop("tiles", "other")
     )
-    found = settle(dealt.groupBy("group_id", "low", "high").applyInPandas(_product(percent), "a long, b long, links long"))
+    once, dealt = sets.agg(F.sum(F.length("grams")), F.sum(F.length("grams") * F.col("tiles"))).first()
+    rounds = ceil((dealt or 0) / max(COPIES_AT_ONCE * (once or 0), ROUND_BYTES))
+    found = reduce(DataFrame.unionByName, [settle(_round_of_pairs(sets, k, rounds, percent)) for k in range(max(1, rounds))])
     labels = components(found.where("a <> b"), "a", "b").withColumnRenamed("node", "class_key")
     counts = found.where("a = b").groupBy(F.col("a").alias("class_key")).agg(F.sum("links").alias("links"))
 
