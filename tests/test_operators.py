@@ -554,3 +554,13 @@ def test_a_finished_hand_over_frees_its_shuffle_at_once(spark, monkeypatch):
             break
         time.sleep(0.2)
     assert held() <= before
+
+
+def test_hand_overs_return_native_memory(spark, monkeypatch):
+    from tilewright.sources import tables
+
+    said = []
+    monkeypatch.setattr(tables, "_gathered", {})
+    monkeypatch.setattr(tables, "trim", lambda session, f=tables.trim: said.append(f(session)))
+    assert tables.hand_over(spark.range(10), "step").count() == 10
+    assert len(said) == 1 and (said[0] == "" or "native heap" in said[0])
