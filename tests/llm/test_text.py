@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,6 +151,68 @@ def test_run_index_statistics():
         assert index.runs <= index.size
 
 
+def test_suffix_order_equals_sorting():
+    rng = random.Random(5)
+    for _ in range(25):
+        base = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 30))) for _ in range(3)]
+        parts = [b"".join(rng.choice(base) for _ in range(rng.randint(8, 12))) for _ in range(rng.randint(1, 6))]
+        symbols = np.array([x for p in parts for x in [*(b + 1 for b in p), 0]], np.uint16)
+        ends = np.flatnonzero(symbols == 0)
+        left = ends[np.searchsorted(ends, np.arange(len(symbols)))] + 1 - np.arange(len(symbols))
+        want = sorted(range(len(symbols)), key=lambda i: (symbols[i : i + left[i]].tolist(), i))
+        assert S.suffix_order(symbols, left).tolist() == want
+
+
+def test_a_block_of_many_anchors_is_indexed_within_bounds():
+    """Repeats of each anchor are found whole, in memory that follows the anchors and not the block."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for anchor in range(60):
+        shared = rng.bytes(410)
+        rows += [(anchor, 100 * anchor + k, k, 1 + (k == 3), rng.bytes(45) + shared + rng.bytes(45)) for k in range(50)]
+    rows += [(60, 9000 + k, 5, 1, rng.bytes(450)) for k in range(2)]
+    rng.shuffle(order := list(range(len(rows))))
+    block = pa.table({n: [rows[i][k] for i in order] for k, n in enumerate(("anchor", "rk", "first", "copies", "bytes"))})
+    tracemalloc.start()
+    try:
+        got = S._indexed(400)(block)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, block["bytes"].to_pylist())) > 1_490_000
+    assert peak < 80e6
+    found = sorted(zip(*(got[k].to_pylist() for k in ("rk", "lo", "hi")), strict=True))
+    # random bytes beside a passage can prolong a match by a byte or two
+    assert [r[0] for r in found] == [r[1] for r in rows if r[0] < 60 and r[3] == 1]
+    assert all(r[0] % 100 + 43 <= r[1] <= r[0] % 100 + 45 and r[0] % 100 + 55 <= r[2] <= r[0] % 100 + 57 for r in found)
+
+
+def test_a_range_of_many_windows_is_counted_within_bounds():
+    rng = np.random.default_rng(9)
+    n, wide = 5000, 200
+    own = rng.integers(0, 2**63, (n, wide), dtype=np.int64)
+    own[: n - 2, 50:150] = own[0, 50:150]  # the last two rows share nothing; the last one has a copy
+    rows = {"range": [0] * n, "rk": list(range(n)), "first": pa.array([10] * n, pa.int32()), "copies": [1] * (n - 1) + [2], "starts": [np.arange(wide, dtype=np.int32).tobytes()] * n, "hashes": [x.tobytes() for x in own]}
+    rows["copies"][4] = 2  # marked elsewhere
+    tracemalloc.start()
+    try:
+        got = S._counted(pa.table(rows))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert list(zip(*(got[k].to_pylist() for k in ("rk", "lo", "hi")), strict=True)) == [(k, 60, 159) for k in range(n - 2) if k != 4]
+    assert peak < 60e6
+
+
+def test_whole_anchors():
+    anchors = np.array([1, 1, 2, 3, 3, 3, 4])
+    cut = lambda sizes, most: [(x.start, x.stop) for x in S.whole_anchors(anchors, np.array(sizes), most)]
+    assert cut([1] * 7, 3) == [(0, 3), (3, 6), (6, 7)]
+    assert cut([1] * 7, 100) == [(0, 7)]
+    assert cut([9] * 7, 5) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert list(S.whole_anchors(anchors[:0], anchors[:0], 5)) == []
+
+
 @pytest.mark.parametrize("crowd", [3000, 1])
 def test_repeats_equal_brute_force(documents, crowd):
     rng = random.Random(11)
